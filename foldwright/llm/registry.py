@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, pii
+from . import bpe, chat, pii, tokens
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1_chat_prefix_targets,
+    "op2_token_files": tokens.op2_token_files,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
     "op10_pii": pii.op10_pii,
 }
 ORACLES = {"op1_chat_prefix_targets": chat.ORACLE_SQL}
