@@ -20,6 +20,9 @@ SLICE_BYTES = 2 << 20
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
 NOT_SPACE = ~_WS
+#: ASCII letters and digits, and all bytes of other characters.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -97,10 +100,11 @@ class Words:
     offs: np.ndarray  # words of document d: offs[d]:offs[d + 1]
 
 
-def words(s: Slice) -> Words:
-    """Runs of bytes outside \\x20 and \\x09-\\x0D, cut at document borders."""
+def words(s: Slice, inside: np.ndarray = NOT_SPACE) -> Words:
+    """Runs of the bytes flagged in inside (by default those outside \\x20 and
+    \\x09-\\x0D), cut at document borders."""
     n = len(s.data)
-    w = NOT_SPACE[s.data]
+    w = inside[s.data]
     st, en = w.copy(), w.copy()
     if n:
         st[1:] &= ~w[:-1]
