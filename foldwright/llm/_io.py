@@ -47,8 +47,8 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def semi_by_size(df: DataFrame, keys: DataFrame, col: str, n_keys: int) -> DataFrame:
-    """df LEFT SEMI keys on col: the key table travels by broadcast while its
-    counted size is within BROADCAST_ROWS, and by shuffle beyond that."""
+def by_size(df: DataFrame, keys: DataFrame, col: str, n_keys: int, how: str = "left_semi") -> DataFrame:
+    """df LEFT SEMI (or ANTI) keys on col: the key table travels by broadcast while
+    its counted size is within BROADCAST_ROWS, and by shuffle beyond that."""
     side = F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys
-    return df.join(side, col, "left_semi")
+    return df.join(side, col, how)

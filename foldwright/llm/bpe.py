@@ -208,24 +208,28 @@ def decode(df: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFram
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None, with_ids: bool = False) -> DataFrame:
     """encode(), then decode() of its ids, in one pass: rows (doc_id, n_tokens,
-    ids_sha256, decoded_sha256)."""
+    ids_sha256, decoded_sha256), and the ids themselves if asked for."""
     path, pattern = vocabulary or default_vocabulary()
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
-            n, i, d = [], [], []
-            for t in b.column(1):
-                ids = c.encode(t.as_py())
-                n.append(len(ids) // 4)
-                i.append(sha(ids))
-                d.append(sha(c.decode(ids)))
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _texts(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for at in range(0, len(b), 512):
+                part = b.slice(at, 512)
+                ids = [c.encode(t.as_py()) for t in part.column(1)]
+                out = {
+                    "doc_id": part.column(0),
+                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    "ids_sha256": pa.array([sha(x) for x in ids], pa.string()),
+                    "decoded_sha256": pa.array([sha(c.decode(x)) for x in ids], pa.string()),
+                } | ({"ids": pa.array(ids, pa.binary())} if with_ids else {})
+                yield pa.record_batch(list(out.values()), list(out))
+
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    return _texts(df, id_col, text_col).mapInArrow(run, kinds)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,43 +176,63 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, p_low double, p_toxic double"
 
 
+def _judge(raw: X.Slice, models: tuple[Model, Model]) -> dict[str, np.ndarray]:
+    """The columns of SCHEMA after doc_id for the documents of a slice."""
+    n = raw.docs
+    w = X.words(raw)
+    n_words = np.diff(w.offs)
+    s = raw.lower()
+    exact = X.span_hashes(raw, w.starts, w.ends)
+    repeat = np.array([repeated_words(exact[w.offs[d] : w.offs[d + 1]]) for d in range(n)], np.int64)
+    d, i = features(s, w, X.span_hashes(s, w.starts, w.ends))
+    hit = np.flatnonzero((models[0].index[i] >= 0) | (models[1].index[i] >= 0))
+    key = np.unique(d[hit].astype(np.int64) * DIM + i[hit])
+    d, i = key // DIM, key % DIM
+    p = []
+    for m in models:
+        at = m.index[i]
+        ok = at >= 0
+        p.append(m.probability(np.bincount(d[ok], m.weights[at[ok]].astype(np.float64), n) + m.bias))
+    failed = (n_words < MIN_WORDS) | (100 * repeat > REPEAT_PERCENT * n_words)
+    return {
+        "n_words": n_words.astype(np.int64),
+        "word_chars": X.by_doc(_CHAR_IN_WORD[raw.data], raw.offs),
+        "n_symbols": X.by_doc(_SYMBOL[raw.data], raw.offs),
+        "n_dup_lines": np.array([repeated_lines(raw.text(d)) for d in range(n)], np.int64),
+        "n_repeat_words": repeat,
+        "base_failed": failed,
+        "kept": ~failed & (p[0] < THRESHOLD) & (p[1] < THRESHOLD),
+        "p_low": p[0],
+        "p_toxic": p[1],
+    }
+
+
 def score(df: DataFrame, models: tuple[Model, Model], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of SCHEMA for every document."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(models)  # two tables of DIM ints and MAX_FEATURES weights
+    shared = df.sparkSession.sparkContext.broadcast(models)  # two tables of DIM ints and MAX_FEATURES weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = shared.value
-        chosen = (both[0].index >= 0) | (both[1].index >= 0)
         for b in batches:
             for raw in X.slices(b.column(1)):
-                n = raw.docs
-                w = X.words(raw)
-                n_words = np.diff(w.offs)
-                s = raw.lower()
-                exact = X.span_hashes(raw, w.starts, w.ends)
-                repeat = np.array([repeated_words(exact[w.offs[d] : w.offs[d + 1]]) for d in range(n)], np.int64)
-                lines = np.array([repeated_lines(raw.text(d)) for d in range(n)], np.int64)
-                d, i = features(s, w, X.span_hashes(s, w.starts, w.ends))
-                hit = chosen[i]
-                key = np.unique(d[hit].astype(np.int64) * DIM + i[hit])
-                d, i = key // DIM, key % DIM
-                p = []
-                for m in both:
-                    at = m.index[i]
-                    ok = at >= 0
-                    p.append(m.probability(np.bincount(d[ok], m.weights[at[ok]].astype(np.float64), n) + m.bias))
-                failed = (n_words < MIN_WORDS) | (100 * repeat > REPEAT_PERCENT * n_words)
-                kept = ~failed & (p[0] < THRESHOLD) & (p[1] < THRESHOLD)
-                counts = [n_words, X.by_doc(_CHAR_IN_WORD[raw.data], raw.offs), X.by_doc(_SYMBOL[raw.data], raw.offs), lines, repeat]
-                yield pa.record_batch(
-                    [b.column(0).slice(raw.first, n), *[pa.array(c, pa.int64()) for c in counts], pa.array(failed), pa.array(kept), pa.array(p[0]), pa.array(p[1])],
-                    ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_low", "p_toxic"],
-                )
+                out = _judge(raw, shared.value)
+                yield pa.record_batch([b.column(0).slice(raw.first, raw.docs), *map(pa.array, out.values())], ["doc_id", *out])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def keep_good(df: DataFrame, models: tuple[Model, Model], text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, whose verdict is kept."""
+    shared = df.sparkSession.sparkContext.broadcast(models)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in X.slices(b.column(at)):
+                yield b.slice(raw.first, raw.docs).filter(pa.array(_judge(raw, shared.value)["kept"]))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))

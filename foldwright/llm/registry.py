@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, lines, pii, quality, tokens
+from . import bpe, chat, decontam, jaccard, lines, pii, quality, tokens
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1_chat_prefix_targets,
     "op2_token_files": tokens.op2_token_files,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_decontaminate": decontam.op7_decontaminate,
     "op9_line_dedup": lines.op9_line_dedup,
