@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, jaccard, lines, pii, quality, tokens
+from . import bpe, chat, decontam, jaccard, lines, pii, quality, substring, tokens
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1_chat_prefix_targets,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_decontaminate": decontam.op7_decontaminate,
+    "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_pii": pii.op10_pii,
 }
