@@ -13,7 +13,12 @@ DEFAULT_SHARED_DIR = "/tmp/checkpoints"
 BROADCAST_ROWS = 2_000_000
 
 
+#: Bytes of an Arrow batch to a Python worker (the default is eight times that).
+ARROW_BATCH = "8m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

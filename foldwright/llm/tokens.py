@@ -20,7 +20,9 @@ folder and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +30,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import scratch, table
+from ._io import discard, materialize, scratch, table
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 18
-CACHE_WORDS = 300_000
+CACHE_PIECES = 1_000_000
+_TAIL = "!.,%&$*#|?;:"
+_SMALL = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
+_PLAIN = re.compile(f"[{_SMALL}]+").fullmatch
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others,
+    in order, for the characters from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
+
+
+_AS_BYTES = str.maketrans({c: "".join(map(_byte_alphabet().__getitem__, c.encode())) for c in _SMALL})
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 BLOCKS = "shard int, skip long, doc_ids array<long>, n_tokens array<int>, control binary, data binary"
 
@@ -41,23 +57,42 @@ class WordTokens(dict):
     """Ids (little-endian uint32 bytes) of the pieces of a text between spaces.
 
     The tokenizer drops white space, and neither its normaliser nor its
-    splitting looks across it, so pieces are encoded apart and remembered."""
+    splitting looks across it, so pieces are encoded apart and remembered, in two
+    generations of CACHE_PIECES.  Within a piece, a tail of ASCII symbols after
+    a letter is a word of its own, and capitals are those of their small letters;
+    a plain word of small letters goes to the library's model without the
+    normaliser.  Everything else goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE_WORDS:
+        self._old: dict[str, bytes] = {}
+        self.dtype = "<u2" if self._tokenizer.get_vocab_size() < 1 << 16 else "<u4"
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self._old.get(piece)
+        if got is None:
+            got = self._encode(piece)
+        if len(self) > CACHE_PIECES:
+            self._old = dict(self)
             self.clear()
-        got = np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = got
+        if len(piece) <= 64:
+            self[piece] = got
         return got
 
+    def _encode(self, piece: str) -> bytes:
+        if _PLAIN(piece):
+            return array("I", [t.id for t in self._tokenizer.model.tokenize(piece.translate(_AS_BYTES))]).tobytes()
+        word = piece.rstrip(_TAIL)
+        if word and len(word) < len(piece) and word[-1].isalpha():
+            return self[word] + self[piece[len(word) :]]
+        if _PLAIN(small := piece.lower()):
+            return self[small]
+        return array("I", self._tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join([self[p] for p in text.replace("\n", " ").split(" ")])
 
 
 _tokenizers: dict[str, WordTokens] = {}
@@ -93,25 +128,39 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def frequencies(docs: DataFrame, path: str, end_id: int = END_ID) -> np.ndarray:
-    """Count of every id over all documents; tasks send one row per used id."""
+def _encoded(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, str, str]:
+    """Rows (doc_id, salt, ids) of all documents in the shared folder; the type of
+    its ids (of two bytes if the vocabulary allows)."""
+    kind = _words(path).dtype
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, end = _words(path), np.array([end_id], "<u4").tobytes()
+        for b in batches:
+            for a in range(0, len(b), 256):
+                part = b.slice(a, 256)
+                ids = [np.frombuffer(w.encode(t) + end, "<u4").astype(kind).tobytes() for t in part.column(2).to_pylist()]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(ids, pa.binary())], ["doc_id", "salt", "ids"])
+
+    salted = docs.select("doc_id", F.xxhash64("text").alias("salt"), "text")
+    out, folder = materialize(salted.mapInArrow(run, "doc_id long, salt long, ids binary"), "ids")
+    return out, folder, kind
+
+
+def frequencies(encoded: DataFrame, kind: str, end_id: int = END_ID) -> np.ndarray:
+    """Count of every id over all documents; a task sends a row per used id."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, total = _words(path), np.zeros(1, np.int64)
+        total = np.zeros(end_id + 1, np.int64)
         for b in batches:
-            for a in range(0, len(b), 512):
-                ids = np.frombuffer(b"".join([w.encode(t.as_py()) for t in b.column(0)[a : a + 512]]), "<u4")
-                c = np.bincount(ids, minlength=len(total))
+            for ids in b.column(0):
+                c = np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=len(total))
                 c[: len(total)] += total
                 total = c
-            if len(total) <= end_id:
-                total = np.pad(total, (0, end_id + 1 - len(total)))
-            total[end_id] += len(b)
         used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
+        yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(int(rows["id"].max()) + 1 if len(rows) else end_id + 1, np.int64)
+    rows = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
+    out = np.zeros(max(end_id, *rows["id"], 0) + 1, np.int64)
     out[rows["id"].to_numpy()] = rows["n"].to_numpy()
     return out
 
@@ -120,41 +169,40 @@ def write(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_co
     """Encode every text and write the blocks in ascending order of id."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spark = df.sparkSession
-    freq = frequencies(docs, path, end_id)
+    encoded, encoded_folder, kind = _encoded(docs, path, end_id)
+    freq = frequencies(encoded, kind, end_id)
     by_rank = np.lexsort((np.arange(len(freq)), -freq))
     rank_of = np.empty(len(freq), np.uint32)
     rank_of[by_rank] = np.arange(len(freq), dtype=np.uint32)
-    spark.createDataFrame([(bytes(by_rank.astype("<u4").tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{folder}/ranks")
+    spark.createDataFrame([(by_rank.astype("<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{folder}/ranks")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        w, shard, skip = _words(path), TaskContext.get().partitionId(), 0
-        ids: list[int] = []
-        parts: list[bytes] = []
-        held = 0
-        end = np.array([end_id], "<u4").tobytes()
+        shard, skip, held = TaskContext.get().partitionId(), 0, 0
+        docs: list[int] = []
+        parts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            control, data = pack(rank_of[np.frombuffer(b"".join(parts), "<u4")])
-            n = [len(p) // 4 for p in parts]
-            return pa.record_batch([pa.array([shard], pa.int32()), pa.array([skip], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int32())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], ["shard", "skip", "doc_ids", "n_tokens", "control", "data"])
+            control, data = pack(rank_of[np.concatenate(parts)])
+            n = [len(p) for p in parts]
+            return pa.record_batch([pa.array([shard], pa.int32()), pa.array([skip], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int32())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], ["shard", "skip", "doc_ids", "n_tokens", "control", "data"])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                e = w.encode(t.as_py()) + end
-                if parts and held + len(e) // 4 > BLOCK_TOKENS:
+            for doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = np.frombuffer(ids, kind)
+                if parts and held + len(ids) > BLOCK_TOKENS:
                     yield flush()
-                    ids, parts, held, skip = [], [], 0, skip + held
-                ids.append(i)
-                parts.append(e)
-                held += len(e) // 4
+                    docs, parts, held, skip = [], [], 0, skip + held
+                docs.append(doc)
+                parts.append(ids)
+                held += len(ids)
         if parts:
             yield flush()
 
-    salt = F.xxhash64("text")
-    ordered = docs.withColumn("salt", salt).repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").select("doc_id", "text")
+    ordered = encoded.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").select("doc_id", "ids")
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    discard(spark, encoded_folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
