@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, jaccard, lines, pii, quality, substring, tokens
+from . import bpe, chat, decontam, jaccard, lines, mixing, pii, quality, substring, tokens
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1_chat_prefix_targets,
     "op2_token_files": tokens.op2_token_files,
+    "op3_context_mixing": mixing.op3_context_mixing,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_byte_bpe": bpe.op6_byte_bpe,
