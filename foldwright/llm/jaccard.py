@@ -7,19 +7,27 @@ cut into FRAGMENTS, partial overlaps are counted in each fragment on its own and
 summed per pair, and the sum decides exactly.
 
 1. Sets equal as sets are one node from the start (copies never meet as pairs).
-2. A set emits the prefix in which any two sets of Jaccard >= 0.8 share SHARED
-   shingles at least (sets of up to 3 shingles can only equal their partners).
-3. Round 1 links the members of a shingle's posting list to a *centre*, the
-   smallest set whose size fits, which is linear in the list.  Verified links
-   give components.
-4. Round 2 takes the pairs of a posting list that are in different components:
+2. A set emits a first prefix, three tenths of it, in which any two sets of
+   Jaccard >= 0.8 share a tenth of the smaller one (sets of up to 3 shingles can
+   only equal their partners).  Sets that share less, with all others together,
+   are done.
+3. The rest count how often each of their shingles occurs among them.  That is
+   the final order, rarest first: shingles that no other set has fill a prefix and
+   end it, so a set with more than a fifth of its own is done, too.
+4. Round 1 links the members of a posting list to a *centre*: of those whose size
+   fits, the set whose shingles are the most frequent ones, from which copies of
+   one text differ least.  This is linear in the list.  Verified links give
+   components.
+5. Round 2 takes the pairs of a posting list that are in different components:
    within a component no link can change a result, so groups of near copies
    cost their size and not its square, while no link between components is lost.
+   The known overlaps with a common centre bound what two sets can share, and
+   pairs that can't reach the threshold are none.
 
-The frequent shingles are those of at least total / FREQUENT_SHARE occurrences
-(so never more than FREQUENT_SHARE of them), found by adding up the counts that
-tasks see more than once in a block; as only the order depends on them, a
-missed one costs time and never a link.
+Counts are exact up to RARE; beyond it, shingles are ordered by the counts of at
+least total / FREQUENT_SHARE occurrences (so never more than FREQUENT_SHARE of
+them) that add up from what tasks see more than twice in a block.  Only the order
+depends on them, so a missed one costs time and never a link.
 
 Defined cases: null text or text without words has an empty set, and is its own
 component; fewer than 5 words are one shingle; rows of equal id each get a row;
@@ -46,7 +54,8 @@ FRAGMENTS = 4
 SHARED = 3
 FREQUENT_SHARE = 200_000
 FREQUENT_LEAST = 64
-COUNT_BLOCK = 2_000_000
+RARE = 64
+COUNT_BLOCK = 1_000_000
 
 
 def _sets(column: pa.Array) -> Iterator[tuple[X.Slice, list[np.ndarray]]]:
@@ -86,15 +95,17 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(k)
                     held.append(x)
                     size += len(x)
-            if size > COUNT_BLOCK:
-                yield counts(held)
-                held, size, seen = [], 0, set()
+                if size > COUNT_BLOCK:
+                    yield counts(held)
+                    held, size, seen = [], 0, set()
     if held:
         yield counts(held)
 
 
 def _prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + SHARED
+    """In prefixes n - (least overlap) + s long, two linked sets share s or more;
+    s is a tenth of the set here, so that chance meetings tell little."""
+    return n - -(-PERCENT * n // 100) + max(SHARED, -(-n // 10))
 
 
 def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
@@ -133,48 +144,96 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
     return run
 
 
-def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, n, key): those of posting lists with two sets or
-    more, each with its centre (itself, where it is one).  Streams: only the row
-    before and the current centre are remembered."""
-    last = None  # (h, n, key) not yet sent
-    sent = False
-    centre = (0, 0)
+def _every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shingle, key, n) of whole sets."""
     for b in batches:
-        h, key, n = (b.column(c).to_numpy() for c in ("h", "key", "n"))
-        if not len(h):
-            continue
-        same = np.zeros(len(h), bool)
-        same[1:] = h[1:] == h[:-1]
-        same[0] = last is not None and last[0] == h[0]
-        follow = np.zeros(len(h), bool)
-        follow[:-1] = same[1:]
-        oh, ok, on, oc = [], [], [], []
-
-        def put(a: int, k: int, m: int, c: int) -> None:
-            oh.append(a)
-            ok.append(k)
-            on.append(m)
-            oc.append(c)
-
-        at = np.flatnonzero(same | follow)
-        for i, a, k, m, s in zip(at.tolist(), h[at].tolist(), key[at].tolist(), n[at].tolist(), same[at].tolist()):
-            if not s:
-                centre = (k, m)
-                put(a, k, m, k)
+        for _, sets in _sets(b.column(0)):
+            sets = [x for x in sets if len(x) > 3]
+            if sets:
+                c = [len(x) for x in sets]
+                yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(np.array([_key(x) for x in sets], np.int64), c)), pa.array(np.repeat(np.array(c, np.int32), c))], ["h", "key", "n"])
+
+
+def _shared(frequent: tuple[np.ndarray, np.ndarray]):
+    """Of rows sorted by (h, key): those of shingles that two sets or more have,
+    with the shingle's rank (how many sets have it, as far as RARE; the count of a
+    frequent one).  Streams: at most RARE rows of a list are held."""
+    hot, hot_count = frequent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, last = None, [], None  # current list; its rows until RARE; the last key
+        ready = False
+        for b in batches:
+            h, key, n = (b.column(c).to_numpy() for c in ("h", "key", "n"))
+            if not len(h):
                 continue
-            if i == 0 and not sent:  # the list began with the last row of the batch before
-                centre = (last[2], last[1])
-                put(a, last[2], last[1], last[2])
-            if k == (last[2] if i == 0 else int(key[i - 1])):
-                continue  # the same set from another task
-            if 100 * centre[1] < PERCENT * m:
-                centre = (k, m)
-            put(a, k, m, centre[0])
-        sent = bool(same[-1])
-        last = (int(h[-1]), int(n[-1]), int(key[-1]))
-        if oh:
-            yield pa.record_batch([pa.array(oh, pa.int64()), pa.array(ok, pa.int64()), pa.array(on, pa.int32()), pa.array(oc, pa.int64())], ["h", "key", "n", "centre"])
+            same = np.zeros(len(h), bool)
+            same[1:] = h[1:] == h[:-1]
+            same[0] = now == h[0]
+            follow = np.ones(len(h), bool)
+            follow[:-1] = same[1:]
+            at = np.flatnonzero(same | follow)  # lists of one row end here, but for the last
+            oh, ok, on, orank = [], [], [], []
+
+            def put(rows: list, rank: int) -> None:
+                for a, k, m in rows:
+                    oh.append(a)
+                    ok.append(k)
+                    on.append(m)
+                    orank.append(rank)
+
+            if not same[0]:
+                if len(held) > 1:
+                    put(held, len(held))
+                now, held, last, ready = None, [], None, False
+            for a, k, m in zip(h[at].tolist(), key[at].tolist(), n[at].tolist()):
+                if a != now:
+                    if len(held) > 1:
+                        put(held, len(held))
+                    now, held, last, ready = a, [], None, False
+                if k == last:
+                    continue  # the same set from another task
+                last = k
+                if ready:
+                    put([(a, k, m)], RARE)
+                    continue
+                held.append((a, k, m))
+                if len(held) == RARE:
+                    put(held, RARE)
+                    held, ready = [], True
+            if oh:
+                u, rank = np.array(oh, np.int64).view(np.uint64), np.array(orank, np.int64)
+                if len(hot):
+                    i = np.searchsorted(hot, u)
+                    i[i == len(hot)] = 0
+                    rank = np.where((rank == RARE) & (hot[i] == u), np.maximum(rank, hot_count[i]), rank)
+                yield pa.record_batch([pa.array(oh, pa.int64()), pa.array(ok, pa.int64()), pa.array(on, pa.int32()), pa.array(rank)], ["h", "key", "n", "rank"])
+        if len(held) > 1:
+            oh, ok, on = zip(*held)
+            yield pa.record_batch([pa.array(oh, pa.int64()), pa.array(ok, pa.int64()), pa.array(on, pa.int32()), pa.array([len(held)] * len(held), pa.int64())], ["h", "key", "n", "rank"])
+
+    return run
+
+
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (h, hub descending, key): each with its centre, the first
+    row of the list whose size fits (itself, where there is none).  Streams: a
+    list's centres are remembered, whose sizes differ by a quarter each."""
+    now, centres = None, []
+    for b in batches:
+        h, key, n = (b.column(c).to_pylist() for c in ("h", "key", "n"))
+        out = []
+        for a, k, m in zip(h, key, n):
+            if a != now:
+                now, centres = a, []
+            for c, size in centres:
+                if 100 * min(size, m) >= PERCENT * max(size, m):
+                    out.append(c)
+                    break
+            else:
+                centres.append((k, m))
+                out.append(k)
+        yield pa.record_batch([*(b.column(c) for c in ("h", "key", "n", "e")), pa.array(out, pa.int64())], ["h", "key", "n", "e", "centre"])
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +252,8 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose partial overlaps, summed, reach the threshold."""
+    """Rows (a, b, common, linked): the overlap of every pair, summed from its
+    fragments, and whether it reaches the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(reps, "key").select("doc_id")
     texts = by_size(docs, ids, "doc_id", ids.count())
     parts = texts.select("doc_id", "text").mapInArrow(_fragments, "key long, n long, fragment int, part array<long>")
@@ -203,7 +263,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     both = each.join(left, ["a", "fragment"]).select("a", "b", "fragment", "na", F.col("pa")).join(right, ["b", "fragment"])
     partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("common"))
     total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return total.where(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    return total.select("a", "b", "common", (100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked"))
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,24 +279,48 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     at = np.argsort(rows["key"].to_numpy(np.int64).view(np.uint64))
     frequent = rows["key"].to_numpy(np.int64).view(np.uint64)[at], rows["n"].to_numpy(np.int64)[at]
 
-    prefix = docs.select("text").mapInArrow(_prefixes(frequent), "h long, key long, n int")
-    listed, listed_path = materialize(prefix.repartition("h").sortWithinPartitions("h", "n", "key").mapInArrow(_centres, "h long, key long, n int, centre long"), "postings")
     reps = members.where("n > 3").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    rows = "h long, key long, n int"
+
+    def shared(posted: DataFrame) -> DataFrame:
+        return posted.repartition("h").sortWithinPartitions("h", "key").mapInArrow(_shared(frequent), rows + ", rank long")
+
+    some = shared(docs.select("text").mapInArrow(_prefixes(frequent), rows)).groupBy("key").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    some = some.where(F.expr(f"c >= greatest({SHARED}, ceil({PERCENT} * n / 1000))"))
+    some, some_path = materialize(some.join(reps, "key").select("doc_id"), "candidates")
+    texts = by_size(docs, some, "doc_id", some.count()).select("text")
+    ranked = shared(texts.mapInArrow(_every, rows)).groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "h"))).alias("s"))
+    # shingles of their own come first in the order: n - size(s) of them
+    keep = F.expr(f"n - cast(ceil({PERCENT} * n / 100) as int) + {SHARED} - (n - size(s))")
+    ranked = ranked.withColumn("m", keep).where(F.col("m") >= SHARED)
+    hub = F.expr("aggregate(s, 0L, (a, x) -> a + x.rank) / n")
+    ranked = ranked.select("key", "n", F.size("s").alias("e"), hub.alias("hub"), F.expr("slice(s, 1, m).h").alias("prefix"))
+    ranked, ranked_path = materialize(ranked, "prefixes")
+    posted = ranked.select("key", "n", "e", "hub", F.explode("prefix").alias("h"))
+    ordered = posted.repartition("h").sortWithinPartitions("h", F.desc("hub"), "key").select("h", "key", "n", "e")
+    listed, listed_path = materialize(ordered.mapInArrow(_centres, rows + ", e int, centre long"), "postings")
 
     stars = listed.where("key <> centre").groupBy("key", "centre").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED)
     pairs, pairs_path = materialize(stars.select(F.col("key").alias("a"), F.col("centre").alias("b")), "pairs")
-    first, first_path = materialize(_verified(docs, reps, pairs), "links")
+    scored, _ = materialize(_verified(docs, reps, pairs), "links")
+    first = scored.where("linked").select("a", "b")
     comps, comps_path = components(first)
 
-    rooted = listed.join(comps.withColumnRenamed("node", "key"), "key", "left").select("h", "key", "n", F.coalesce("root", "key").alias("root"))
+    rooted = listed.join(comps.withColumnRenamed("node", "key"), "key", "left").join(scored.select(F.col("a").alias("key"), F.col("b").alias("centre"), "common"), ["key", "centre"], "left")
+    with_centre = F.when(F.col("key") == F.col("centre"), F.col("n")).otherwise(F.col("common"))
+    rooted = rooted.select("h", "key", "n", "e", "centre", with_centre.alias("i"), F.coalesce("root", "key").alias("root"))
     mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    rooted = rooted.join(mixed, "h", "left_semi")
-    l, r = rooted.select("h", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), rooted.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    across = l.join(r, "h").where(f"a < b and ra <> rb and 100 * na >= {PERCENT} * nb and 100 * nb >= {PERCENT} * na")
-    across = across.groupBy("a", "b").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED).select("a", "b")
+    rooted = rooted.join(mixed, "h", "left_semi").join(ranked.select("key", "prefix"), "key")
+    l, r = (rooted.select("h", *[F.col(c).alias(f"{x}_{c}") for c in ("key", "n", "e", "centre", "i", "root", "prefix")]) for x in "ab")
+    # what two sets share lies in their centre, at most both's overlaps with it, or
+    # outside it, at most what both have there that others have
+    most = "if(a_centre = b_centre and a_i + b_i is not null, least(a_i, b_i) + least(a_e - a_i, b_e - b_i), least(a_e, b_e))"
+    once = f"size(array_intersect(a_prefix, b_prefix)) >= {SHARED} and array_intersect(a_prefix, b_prefix)[0] = h"  # at the first list that both are in
+    near = F.expr(f"a_key < b_key and a_root <> b_root and 100 * {most} >= {PERCENT} * (a_n + b_n - {most}) and {once}")
+    across = l.join(r.withColumnRenamed("h", "b_h"), (F.col("h") == F.col("b_h")) & near).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
     more, more_path = materialize(across, "pairs")
-    second, second_path = materialize(_verified(docs, reps, more), "links")
-    discard(spark, pairs_path, more_path, listed_path)
+    second, _ = materialize(_verified(docs, reps, more).where("linked").select("a", "b"), "links")
+    discard(spark, pairs_path, more_path, listed_path, some_path, ranked_path)
     if not second.isEmpty():
         comps, comps_path = components(first.unionByName(second))
 
