@@ -15,9 +15,10 @@ all bits; total bits per byte is -score / log10(2) / bytes.
 
 Training gathers the count of every token (a shuffle with a row per token and
 task) and the context tables, of fixed size, summed in two levels.  A text is
-scored in pieces of PIECE tokens: contexts reach back across a piece's border,
+scored in pieces of PIECE_BITS bits: contexts reach back across a piece's border,
 weights and map begin each piece afresh, so scores don't depend on which other
-texts share a task, and pieces of many texts advance in step inside numpy.
+texts share a task, and pieces of many texts advance in step inside numpy.  Texts
+of more than CHUNK_TOKENS tokens also begin pieces at multiples of that.
 
 The base score joins the exact counts: those of head tokens from the table that
 is sent around (HEAD rows), those of all others by a shuffle join.
@@ -45,9 +46,10 @@ from ._io import discard, materialize, table
 HEAD = 1 << 18
 TABLE_BITS = 21
 MIX_DEPTH = 8
-PIECE = 128
-CHUNK_TOKENS = 300_000
-FLUSH_WORDS = 4_000_000
+PIECE_SHIFT = 10
+PIECE_BITS = 1 << PIECE_SHIFT
+CHUNK_TOKENS = 200_000
+FLUSH_WORDS = 1_000_000
 RANGES = 32
 TERMINATOR = 32
 SPELLING = (2, 3, 5)  # bytes that the predictors look back in a spelled word
@@ -57,7 +59,8 @@ BACKOFF = np.float32(4)  # observations that a shorter context counts for
 HEAD_LEAST = 2  # hapaxes are spelled, so that the escape learns how often new tokens come
 _END = np.uint64(0x1D872B41A5E2C39F)
 _BEGIN = np.uint64(0x9D39247E33776D41)
-_A, _B, _C = np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
+_A, _B = np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
+_NODE, _SPREAD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
 def held_out(doc_id: object) -> bool:
@@ -142,7 +145,7 @@ def make_codes(head: np.ndarray, count: np.ndarray, other: int, ends: int, bytes
     lookup[slot] = np.arange(len(head))
     twice = slot[1:][slot[1:] == slot[:-1]]
     lookup[twice] = -2
-    return Codes(head, count, np.concatenate([o1, o1[-1] + o2[1:]]), np.concatenate([n1[keep1], n2 + (1 << 20)]), np.concatenate([b1[keep1], b2]), prior, lookup)
+    return Codes(head, count, np.concatenate([o1, o1[-1] + o2[1:]]).astype(np.int32), np.concatenate([n1[keep1], n2 + (1 << 20)]).astype(np.int32), np.concatenate([b1[keep1], b2]), prior, lookup)
 
 
 @dataclass
@@ -168,15 +171,21 @@ def tokens_of(s: X.Slice) -> Tokens:
 
 @dataclass
 class Bits:
-    lane: np.ndarray  # piece of each bit, in order
+    """Bits in text order: each with its table slots, gate, piece and place in it."""
+
     bit: np.ndarray
-    gate: np.ndarray
     slots: tuple[np.ndarray, np.ndarray, np.ndarray]
+    gate: np.ndarray | None = None
+    lane: np.ndarray | None = None
+    step: np.ndarray | None = None
+    doc_of_lane: np.ndarray | None = None
 
 
-def bits_of(s: X.Slice, t: Tokens, c: Codes, sym: np.ndarray, a: int, b: int, prev: np.ndarray, prev2: np.ndarray, lane: np.ndarray) -> Bits:
-    """The mixed bits of tokens a:b, with their table slots."""
-    sym, lane = sym[a:b], lane[a:b]
+def bits_of(s: X.Slice, t: Tokens, c: Codes, sym: np.ndarray, a: int, b: int, prev: np.ndarray, prev2: np.ndarray, doc: np.ndarray | None) -> Bits:
+    """The mixed bits of tokens a:b, with their table slots, in pieces of
+    PIECE_BITS from the first of each document's tokens in a:b on (without doc, for
+    training, they have no pieces)."""
+    sym = sym[a:b]
     tail = np.flatnonzero(sym == c.escape)
     n_bytes = (t.stop - t.start)[a:b][tail] + 1
     n_events = np.ones(b - a, np.int64)
@@ -201,16 +210,38 @@ def bits_of(s: X.Slice, t: Tokens, c: Codes, sym: np.ndarray, a: int, b: int, pr
         seen[k + 1 :] += np.where(inside[k + 1 :] > k, src, np.uint64(0)) * np.uint64(pow(300, k))
         for j in range(3):
             if SPELLING[j] == k + 1:
-                ctx[j][at] = (seen + np.uint64((j + 1) << 60)) * _B
+                ctx[j][at] = seen + np.uint64((j + 1) << 60)
     length = np.diff(c.offs)[code]
     n = int(length.sum())
     event = np.repeat(np.arange(total, dtype=np.int32), length)
-    depth = np.arange(n) - np.repeat(np.cumsum(length) - length, length)
-    path = np.repeat(c.offs[code], length) + depth
-    node = c.nodes[path].astype(np.uint64) * _A
-    slots = tuple((((ctx[k] * _C)[event] + node) * _B >> np.uint64(64 - TABLE_BITS)).astype(np.int32) for k in range(3))
-    gate = np.where((code > c.escape + 1)[event], 2, (depth >= MIX_DEPTH // 2)).astype(np.int8)
-    return Bits(np.repeat(np.repeat(lane, n_events), length), c.bits[path], gate, slots)
+    begin = (np.cumsum(length) - length).astype(np.int32)
+    depth = np.arange(n, dtype=np.int32) - begin[event]
+    path = c.offs[code][event] + depth
+    node = c.nodes[path].view(np.uint32) * _NODE
+    slots = []
+    for k in range(3):
+        x = (X.mix(ctx[k]) >> np.uint64(32)).astype(np.uint32)[event]
+        x += node
+        x *= _SPREAD
+        x ^= x >> np.uint32(15)
+        x *= _NODE
+        x >>= np.uint32(32 - TABLE_BITS)
+        slots.append(x.view(np.int32))
+    if doc is None:
+        return Bits(c.bits[path], tuple(slots))
+    gate = (depth >= MIX_DEPTH // 2).astype(np.int8)
+    gate[(code > c.escape + 1)[event]] = 2
+    starts = np.flatnonzero(np.diff(doc[a:b], prepend=-1))  # documents of a:b
+    ends_bits = np.cumsum(length)
+    n_bits = np.diff(np.concatenate([[0], ends_bits[(np.append(first[starts[1:]], total) - 1)]])).astype(np.int32)
+    pieces = (n_bits + (PIECE_BITS - 1)) >> PIECE_SHIFT
+    first_piece, first_bit = np.cumsum(pieces, dtype=np.int32) - pieces, np.cumsum(n_bits, dtype=np.int32) - n_bits
+    lane = np.arange(n, dtype=np.int32)
+    lane -= np.repeat(first_bit, n_bits)
+    step = lane & np.int32(PIECE_BITS - 1)
+    lane >>= np.int32(PIECE_SHIFT)
+    lane += np.repeat(first_piece, n_bits)
+    return Bits(c.bits[path], tuple(slots), gate, lane, step, np.repeat(doc[a:b][starts], pieces))
 
 
 def contexts_of(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -259,10 +290,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size += len(u)
         seen += np.bincount(s.data[X.NOT_SPACE[s.data]], minlength=256)
         seen[TERMINATOR] += len(t.h) - s.docs
-        if size > FLUSH_WORDS // 2:
+        if size > FLUSH_WORDS:
             u, n = merged()
             keys, ns, size = [u], [n], len(u)
-            if size > FLUSH_WORDS // 4:
+            if size > FLUSH_WORDS // 2:
                 yield out(u, n, 0)
                 keys, ns, size = [], [], 0
     if keys:
@@ -270,19 +301,25 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(np.arange(256, dtype=np.uint64), seen, 1)
 
 
-def _chunks(t: Tokens) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Piece of each token; token ranges of whole pieces, about CHUNK_TOKENS."""
-    n = np.diff(t.offs)
-    pieces = -(-n // PIECE)
-    first = np.cumsum(pieces) - pieces
-    doc = np.repeat(np.arange(len(n)), n)
-    lane = first[doc] + (np.arange(len(t.h)) - t.offs[doc]) // PIECE
-    starts = np.flatnonzero(np.diff(lane, prepend=-1))
-    cuts = [0]
-    for x in np.arange(CHUNK_TOKENS, len(t.h), CHUNK_TOKENS):
-        cuts.append(int(starts[np.searchsorted(starts, x, "right") - 1]))
-    cuts = sorted({*cuts, len(t.h)})
-    return lane, list(zip(cuts[:-1], cuts[1:]))
+def _chunks(t: Tokens) -> list[tuple[int, int]]:
+    """Token ranges of about CHUNK_TOKENS: whole documents, or parts of one at
+    multiples of CHUNK_TOKENS from its start."""
+    out, a = [], 0
+    for d in range(len(t.offs) - 1):
+        lo, hi = int(t.offs[d]), int(t.offs[d + 1])
+        if hi - lo > CHUNK_TOKENS or hi - a > CHUNK_TOKENS:
+            if lo > a:
+                out.append((a, lo))
+            a = lo
+            while hi - a > CHUNK_TOKENS:
+                out.append((a, a + CHUNK_TOKENS))
+                a += CHUNK_TOKENS
+            if hi - lo > CHUNK_TOKENS:
+                out.append((a, hi))
+                a = hi
+    if a < len(t.h):
+        out.append((a, len(t.h)))
+    return out
 
 
 def _tables(codes):
@@ -305,9 +342,8 @@ def _tables(codes):
         for s in _training_slices(batches):
             t = tokens_of(s)
             sym, (prev, prev2) = _symbols(t, c), contexts_of(t)
-            lane, chunks = _chunks(t)
-            for a, b in chunks:
-                bits = bits_of(s, t, c, sym, a, b, prev, prev2, lane)
+            for a, b in _chunks(t):
+                bits = bits_of(s, t, c, sym, a, b, prev, prev2, None)
                 for k in range(3):
                     held[k].append(2 * bits.slots[k] + bits.bit)
                 size += len(bits.bit)
@@ -352,54 +388,66 @@ def predict(bits: Bits, pairs: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def mix_bits(bits: Bits, stretched: list[np.ndarray], lanes: int) -> np.ndarray:
+def mix_bits(bits: Bits, stretched: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each lane's bits."""
+    lanes = len(bits.doc_of_lane)
     if not len(bits.bit):
         return np.zeros(lanes)
     n = np.bincount(bits.lane, minlength=lanes)
     order = np.argsort(-n, kind="stable")
     rank = np.empty(lanes, np.int64)
     rank[order] = np.arange(lanes)
-    n = n[order]
-    longest = int(n[0])
-    begin = np.cumsum(np.bincount(bits.lane, minlength=lanes)) - np.bincount(bits.lane, minlength=lanes)
-    flat = (np.arange(len(bits.lane)) - begin[bits.lane]) * lanes + rank[bits.lane]
-    st = np.zeros((3, longest * lanes), np.float32)
-    for k in range(3):
-        st[k][flat] = stretched[k]
+    longest = int(n.max())
+    flat = rank[bits.lane]
+    flat += bits.step * np.int64(lanes)
     y = np.zeros(longest * lanes, np.float32)
     y[flat] = bits.bit
-    g = np.zeros(longest * lanes, np.int32)
+    g = np.zeros(longest * lanes, np.int8)
     g[flat] = bits.gate
-    st, y, g = st.reshape(3, longest, lanes), y.reshape(longest, lanes), g.reshape(longest, lanes)
-    active = np.searchsorted(-n, -np.arange(longest), "left")
+    flat += bits.step * np.int64(2 * lanes)
+    st = np.zeros(longest * 3 * lanes, np.float32)
+    for k in range(3):
+        st[flat] = stretched[k]
+        flat += lanes
+    st, y, g = st.reshape(longest, 3, lanes), y.reshape(longest, lanes), g.reshape(longest, lanes)
+    active = np.searchsorted(-n[order], -np.arange(longest), "left")
     w = np.repeat(np.array(START_WEIGHTS, np.float32).T[:, :, None], lanes, 2).reshape(3, 3 * lanes)
     cells = 24
     apm = np.tile((1 / (1 + np.exp(-(np.arange(cells + 1) - cells / 2) / 2))).astype(np.float32), 3 * lanes)
     got = np.ones((longest, lanes), np.float32)
-    lane = np.arange(lanes, dtype=np.int32)
+    lane = np.arange(lanes, dtype=np.int64)
+    one, half, two, top = np.float32(1), np.float32(0.5), np.float32(2), np.float32(cells - 0.001)
     for i in range(longest):
         m = active[i]
-        s0, s1, s2, yi = st[0, i, :m], st[1, i, :m], st[2, i, :m], y[i, :m]
-        at = g[i, :m] * lanes + lane[:m]
-        w0, w1, w2 = w[0].take(at), w[1].take(at), w[2].take(at)
-        x = w0 * s0 + w1 * s1 + w2 * s2
-        p = 1 / (1 + np.exp(-x))
-        e = (yi - p) * np.float32(RATE)
-        w[0][at] = w0 + e * s0
-        w[1][at] = w1 + e * s1
-        w[2][at] = w2 + e * s2
-        q = np.clip(x * 2 + np.float32(cells / 2), 0, np.float32(cells - 0.001))
-        cell = q.astype(np.int32)
-        f = q - cell
-        cell += at * (cells + 1)
-        low, high = apm.take(cell), apm.take(cell + 1)
-        refined = (p + low + f * (high - low)) * np.float32(0.5)
-        apm[cell] = low + (yi - low) * (np.float32(MAP_RATE) * (1 - f))
-        apm[cell + 1] = high + (yi - high) * (np.float32(MAP_RATE) * f)
-        got[i, :m] = np.where(yi > 0, refined, 1 - refined)
+        s, yi = st[i, :, :m], y[i, :m]
+        at = g[i, :m] * np.int64(lanes)
+        at += lane[:m]
+        wi = w.take(at, 1)
+        x = wi[0] * s[0]
+        x += wi[1] * s[1]
+        x += wi[2] * s[2]
+        p = one / (one + np.exp(-x))
+        wi += (yi - p) * np.float32(RATE) * s
+        w[:, at] = wi
+        x *= two
+        x += np.float32(cells / 2)
+        np.maximum(x, 0, out=x)
+        np.minimum(x, top, out=x)
+        at *= cells + 1
+        cell = x.astype(np.int64)
+        x -= cell
+        cell += at
+        low = apm.take(cell)
+        high = apm.take(cell + 1)
+        mixed = (p + low + x * (high - low)) * half
+        x *= np.float32(MAP_RATE)
+        apm[cell] = low + (yi - low) * (np.float32(MAP_RATE) - x)
+        apm[cell + 1] = high + (yi - high) * x
+        got[i, :m] = np.abs(one - yi - mixed)  # of the bit that came
     out = np.empty(lanes)
-    out[order] = np.log(np.maximum(got, np.float32(1e-6)), dtype=np.float64).sum(0)
+    np.maximum(got, np.float32(1e-6), out=got)
+    np.log(got, out=got)
+    out[order] = got.sum(0, dtype=np.float64)
     return out
 
 
@@ -420,13 +468,10 @@ def _scores(shared):
                 t = tokens_of(s)
                 sym, (prev, prev2) = _symbols(t, c), contexts_of(t)
                 doc = np.repeat(np.arange(s.docs), np.diff(t.offs))
-                lane, chunks = _chunks(t)
-                doc_of_lane = doc[np.flatnonzero(np.diff(lane, prepend=-1))]
                 logp = np.bincount(doc, c.prior[sym], s.docs)
-                for a, e in chunks:
-                    first, lanes = lane[a], lane[e - 1] - lane[a] + 1
-                    bits = bits_of(s, t, c, sym, a, e, prev, prev2, lane - first)
-                    logp += np.bincount(doc_of_lane[first : first + lanes], mix_bits(bits, predict(bits, pairs), lanes), s.docs)
+                for a, e in _chunks(t):
+                    bits = bits_of(s, t, c, sym, a, e, prev, prev2, doc)
+                    logp += np.bincount(bits.doc_of_lane, mix_bits(bits, predict(bits, pairs)), s.docs)
                 base = np.bincount(doc, head_log[0][sym], s.docs)
                 known = np.bincount(doc, head_log[1][sym], s.docs)
                 uids = uid + np.arange(s.docs)
