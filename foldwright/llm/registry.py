@@ -16,4 +16,4 @@ QUERIES = {
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_pii": pii.op10_pii,
 }
-ORACLES = {"op1_chat_prefix_targets": chat.ORACLE_SQL}
+ORACLES = {"op1_chat_prefix_targets": chat.ORACLE_SQL, "op5_jaccard_join": jaccard.ORACLE_SQL}

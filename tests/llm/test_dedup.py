@@ -5,6 +5,7 @@ import re
 import numpy as np
 
 from foldwright.llm import _graph, jaccard, lines, substring
+from tests.oracle import compare, database
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -56,6 +57,11 @@ def test_jaccard_equals_brute_force(spark, small, edge, empty):
         assert sorted(map(tuple, jaccard.join(df).collect()), key=repr) == components_brute(rows)
 
 
+def test_jaccard_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    compare(jaccard.op5_jaccard_join(spark, sf), jaccard.ORACLE_SQL, database(sf))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 3)]
     got = {r.node: r.root for r in _graph.components(spark.createDataFrame(edges, "a long, b long"))[0].collect()}
