@@ -31,6 +31,9 @@ from ._io import table
 TRAIN_ROWS = 4000
 DIM = 1 << 20
 MAX_FEATURES = 1024
+LEAST_SHARE, LEAST_Z = 0.02, 5.0
+L2, STEPS = 1e-4, 600
+TRAIN_SLICE = 1 << 19
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 THRESHOLD = 0.5
 
@@ -99,15 +102,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * logit + self.b, -40, 40)))
 
 
-def _present(texts: list[bytes | None]) -> list[np.ndarray]:
-    out = []
-    for s in X.slices(pa.array(texts, pa.large_binary())):
+def _present(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """The distinct hashed features of each text."""
+    for s in X.slices(pa.array(texts, pa.large_binary()), TRAIN_SLICE):
         s = s.lower()
         w = X.words(s)
         d, i = features(s, w, X.span_hashes(s, w.starts, w.ends))
         key = np.unique(d.astype(np.int64) * DIM + i)
-        out += np.split(key % DIM, np.searchsorted(key, np.arange(1, s.docs) * DIM))
-    return out
+        yield from np.split((key % DIM).astype(np.int32), np.searchsorted(key, np.arange(1, s.docs) * DIM))
 
 
 def _descend(x: np.ndarray, y: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
@@ -124,34 +126,39 @@ def _descend(x: np.ndarray, y: np.ndarray, l2: float, steps: int) -> tuple[np.nd
     return w, bias
 
 
-def fit(present: list[np.ndarray], y: np.ndarray) -> Model:
-    """y: 1 for the class to reject.  Every fourth row calibrates."""
-    index = np.full(DIM, -1, np.int32)
-    held = np.arange(len(y)) % 4 == 3
-    tr = np.flatnonzero(~held)
-    if not len(tr) or len(np.unique(y[tr])) < 2:
-        return Model(index, np.zeros(0, np.float32), -20.0)
-    df = np.zeros((2, DIM))
+def choose(texts: list[bytes | None], y: np.ndarray, tr: np.ndarray) -> np.ndarray:
+    """Features whose document frequencies differ most between the classes."""
+    df = np.zeros((2, DIM), np.float32)
+    for p, c, t in zip(_present(texts), y, tr):
+        if t:
+            df[c, p] += 1
     n = np.array([(y[tr] == c).sum() for c in (0, 1)])
-    for i in tr:
-        df[int(y[i]), present[i]] += 1
-    share = df / n[:, None]
+    share = df / n[:, None].astype(np.float32)
     pooled = df.sum(0) / n.sum()
     z = np.abs(share[1] - share[0]) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n).sum())
-    z[np.maximum(share[0], share[1]) < 0.02] = 0  # else a few copies of one text would enter
+    z[np.maximum(share[0], share[1]) < LEAST_SHARE] = 0  # else a few copies of one text would enter
     z[df.sum(0) < 5] = 0
     chosen = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    chosen = chosen[z[chosen] > 5]
+    return chosen[z[chosen] > LEAST_Z]
+
+
+def fit(texts: list[bytes | None], y: np.ndarray) -> Model:
+    """y: 1 for the class to reject.  Every fourth row calibrates."""
+    index = np.full(DIM, -1, np.int32)
+    held = np.arange(len(y)) % 4 == 3
+    tr = ~held
+    if not tr.any() or len(np.unique(y[tr])) < 2:
+        return Model(index, np.zeros(0, np.float32), -20.0)
+    chosen = choose(texts, y, tr)
     index[chosen] = np.arange(len(chosen))
     x = np.zeros((len(y), len(chosen)), np.float32)
-    for i, p in enumerate(present):
+    for i, p in enumerate(_present(texts)):
         got = index[p]
         x[i, got[got >= 0]] = 1
-    w, bias = _descend(x[tr], y[tr].astype(np.float32), 1e-4, 600)
+    w, bias = _descend(x[tr], y[tr].astype(np.float32), L2, STEPS)
     model = Model(index, w, bias)
-    cal = np.flatnonzero(held)
-    if len(np.unique(y[cal])) == 2:  # Platt's scaling with his smoothed targets
-        s, yc = x[cal] @ w + bias, y[cal]
+    if len(np.unique(y[held])) == 2:  # Platt's scaling with his smoothed targets
+        s, yc = x[held] @ w + bias, y[held]
         pos, neg = (yc == 1).sum(), (yc == 0).sum()
         target = np.where(yc == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
         scale = max(1e-6, float(np.abs(s).mean()))
@@ -167,10 +174,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = sample.dropDuplicates(["l_id"]).orderBy(F.xxhash64("l_id"), "l_id").limit(TRAIN_ROWS)
     texts = docs.select(F.col(id_col).alias("l_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
     rows = texts.join(F.broadcast(sample), "l_id").orderBy(F.xxhash64("l_id"), "l_id", F.xxhash64("t")).limit(TRAIN_ROWS).toArrow()  # bounded: TRAIN_ROWS
-    present = _present(rows.column("t").to_pylist())
+    given = rows.column("t").to_pylist()
     low = 1 - np.array(rows.column("quality").to_pylist() or [], np.int64)
     toxic = np.array(rows.column("toxic").to_pylist() or [], np.int64)
-    return fit(present, low), fit(present, toxic)
+    return fit(given, low), fit(given, toxic)
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, p_low double, p_toxic double"
