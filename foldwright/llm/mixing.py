@@ -41,14 +41,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._io import discard, materialize, table
+from ._io import materialize, table
 
 HEAD = 1 << 18
 TABLE_BITS = 21
 MIX_DEPTH = 8
 PIECE_SHIFT = 10
 PIECE_BITS = 1 << PIECE_SHIFT
-CHUNK_TOKENS = 200_000
+SLICE_BYTES = 1_600_000  # about CHUNK_TOKENS tokens
+CHUNK_TOKENS = 270_000
 FLUSH_WORDS = 1_000_000
 RANGES = 32
 TERMINATOR = 32
@@ -264,7 +265,7 @@ def _symbols(t: Tokens, c: Codes) -> np.ndarray:
 def _training_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[X.Slice]:
     for b in batches:
         keep = pa.array([not held_out(i) for i in b.column(0).to_pylist()], pa.bool_())
-        for s in X.slices(b.column(1).filter(keep)):
+        for s in X.slices(b.column(1).filter(keep), SLICE_BYTES):
             yield s.lower()
 
 
@@ -462,7 +463,7 @@ def _scores(shared):
         uid = TaskContext.get().partitionId() << 33
         names = ["kind", "uid", "doc_id", "n_tokens", "n_known", "base", "score", "token"]
         for b in batches:
-            for s in X.slices(b.column(1)):
+            for s in X.slices(b.column(1), SLICE_BYTES):
                 ids = b.column(0).slice(s.first, s.docs)
                 s = s.lower()
                 t = tokens_of(s)
@@ -516,6 +517,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     for r in parts.select("part", "blob").collect():
         sums[r["part"]] += np.frombuffer(zlib.decompress(r["blob"]), "<u4")
     pairs = sums.reshape(3, -1, 2).astype(np.float32)
+    del sums
     known = np.concatenate([codes.count, [0, ends], np.zeros(256)])
     head_log = np.log10(known + 0.1), (known > 0).astype(np.float64)
     head_log[0][codes.escape] = 0
