@@ -9,6 +9,8 @@ makes m - 1 pairs and not m * (m - 1) / 2, at any m: no line is too frequent to
 be deleted, and the owner, who has no earlier partner for that line, keeps it.
 Only lines of MIN_WORDS words or more lead to partners, and only blocks with
 MIN_WORDS words or more are deleted, so short lines that agree by chance stay.
+Lines with more than one in FREQUENT_LINES of all shared lines meet their owners by
+broadcast (there are fewer than FREQUENT_LINES of them), so none fills a task.
 When a document has more than one owner to be aligned with, each alignment
 deletes its own blocks.
 
@@ -33,6 +35,7 @@ from . import _text as X
 from ._io import materialize, table
 
 MIN_WORDS = 5
+FREQUENT_LINES = 10_000
 
 
 def line_spans(s: X.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,8 +151,13 @@ def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     seqs, _ = materialize(texts.mapInArrow(_sequences, "doc_id long, lines array<long>, n_words array<int>"), "lines")
     lines = seqs.select("doc_id", F.inline(F.arrays_zip("lines", "n_words"))).where(F.col("n_words") >= min_words).select("doc_id", F.col("lines").alias("line"))
-    owners = lines.groupBy("line").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("last > owner").select("line", "owner")
-    pairs = lines.join(owners, "line").where("doc_id > owner").select("doc_id", "owner").distinct()
+    owners = lines.groupBy("line").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("last > owner")
+    owners, _ = materialize(owners.select("line", "owner", "n"), "owners")
+    total = owners.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    often = F.col("n") * FREQUENT_LINES > total
+    frequent = F.broadcast(owners.where(often).select("line", "owner"))  # fewer than FREQUENT_LINES rows
+    rest = lines.join(frequent.select("line"), "line", "left_anti").join(owners.where(~often).select("line", "owner"), "line")
+    pairs = lines.join(frequent, "line").select("doc_id", "owner").unionByName(rest.select("doc_id", "owner")).where("doc_id > owner").distinct()
     x = seqs.select("doc_id", "lines", "n_words")
     y = seqs.select(F.col("doc_id").alias("owner"), F.col("lines").alias("before"))
     both = pairs.join(x, "doc_id").join(y, "owner").select("doc_id", "lines", "n_words", "before")
