@@ -325,7 +325,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         comps, comps_path = components(first.unionByName(second))
 
     named = members.join(comps.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("root"))
-    smallest = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("smallest"))
+    # a table of its own, so that the join below can split a large component
+    smallest, _ = materialize(named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("smallest")), "smallest")
     out = named.join(smallest, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
 
