@@ -147,3 +147,23 @@ def test_substring_equals_brute_force_on_documents(small):
             if first.setdefault(h, i) != i:
                 want.add(i)
     assert want <= {r.doc_id for r in substring.repeated_passages(small).collect()}
+
+
+def test_substring_finds_partners_that_are_neither_first_nor_previous(spark):
+    """Chains of drifting copies in turn, and copies with an edit each: every document
+    with an earlier partner (by brute force over the planted passages) is found."""
+    for seed in (0, 5):
+        rnd = random.Random(seed)
+        text = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+        base, planted = text(60), []
+        chains = [list(base) for _ in range(4)]
+        for i in range(60):
+            w = chains[i % 4] if seed % 2 else list(base)
+            for _ in range(1 if seed % 2 else 1 + i % 2):
+                w[rnd.randrange(60)] = f"x{rnd.randrange(10**7)}"
+            planted.append(list(w))
+        sets = [shingles(" ".join(w)) for w in planted]
+        want = {i for i in range(60) if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(i))}
+        docs = [(i, " ".join(text(60) + w + text(60))) for i, w in enumerate(planted)]
+        got = {r.doc_id for r in substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert len(want) > 5 and want <= got
