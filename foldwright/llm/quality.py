@@ -3,15 +3,18 @@ logistic regression trained on labelled rows, calibrated, against fixed
 probability thresholds.
 
 Two models are trained (low quality, toxic) on at most TRAIN_ROWS labelled
-documents, the ones of smallest hash; a quarter of them calibrates (Platt).
-Features are present or absent in a document: words, pairs of words and
-character 3- and 5-grams of the lower-cased text, hashed to DIM.  Only features
-whose document frequencies differ significantly between the classes enter.
-Scoring covers every document in Arrow batches.
+documents, the ones of smallest hash, as far as TRAIN_BYTES reach; a quarter of
+them calibrates (Platt).  Features are present or absent in a document: words,
+pairs of words and character 3- and 5-grams of the lower-cased text, hashed to DIM;
+all of them enter, scaled by the POWER of what the z value by which their document
+frequencies in the two classes differ has above CHANCE, so that the many chance
+differences (scale 0) don't drown a few real ones; their number has no cap.  The weights are learnt online (EPOCHS passes over the sample in one
+order, averaged), the classes balanced.  Texts equal in all features count once.  Scoring covers every document in Arrow batches.
 
 Defined cases: null or empty text has no words and fails the base rules; labels
 without a document or with null values are ignored; repeated rows stay
-repeated; without labelled rows of both classes a model rejects nothing; an
+repeated; of labels for one document that contradict each other the worst counts;
+texts over LONGEST_TRAINED bytes are scored but not trained on; without labelled rows of both classes a model rejects nothing; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -22,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as X
@@ -30,10 +33,9 @@ from ._io import table
 
 TRAIN_ROWS = 4000
 DIM = 1 << 20
-MAX_FEATURES = 1024
-LEAST_SHARE, LEAST_Z = 0.02, 5.0
-L2, STEPS = 1e-4, 600
-TRAIN_SLICE = 1 << 19
+TRAIN_BYTES, LONGEST_TRAINED = 64 << 20, 1 << 20
+EPOCHS, RATE = 12, 2.0
+CHANCE, POWER = 3.5, 0.25
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 THRESHOLD = 0.5
 
@@ -92,89 +94,113 @@ def features(s: X.Slice, w: X.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Model:
-    index: np.ndarray  # position of a hashed feature among the chosen, or -1
-    weights: np.ndarray
-    bias: float
+    weights: np.ndarray | None  # of the DIM hashed features; None rejects nothing
+    bias: float = 0.0
     a: float = 1.0
     b: float = 0.0
 
+    def logit(self, total: np.ndarray) -> np.ndarray:
+        """From the sums of the weights of present features."""
+        return total + self.bias
+
     def probability(self, logit: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.a * logit + self.b, -40, 40)))
 
 
-def _present(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+def _featurised(texts: list[bytes | None]) -> list[np.ndarray]:
     """The distinct hashed features of each text."""
-    for s in X.slices(pa.array(texts, pa.large_binary()), TRAIN_SLICE):
+    out: list[np.ndarray] = []
+    mark = np.zeros(DIM, bool)
+    for s in X.slices(pa.array(texts, pa.large_binary())):
         s = s.lower()
         w = X.words(s)
         d, i = features(s, w, X.span_hashes(s, w.starts, w.ends))
-        key = np.unique(d.astype(np.int64) * DIM + i)
-        yield from np.split((key % DIM).astype(np.int32), np.searchsorted(key, np.arange(1, s.docs) * DIM))
-
-
-def _descend(x: np.ndarray, y: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression by accelerated gradient descent."""
-    n = len(y)
-    w, v, bias, vb = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 0.0, 0.0
-    rate = 4 / (1 + float((x * x).sum(1).mean()))
-    for t in range(steps):
-        g = 1 / (1 + np.exp(-np.clip(x @ v + vb, -40, 40))) - y
-        new, new_b = v - rate * (x.T @ g / n + l2 * v), vb - rate * float(g.mean())
-        m = t / (t + 3)
-        v, vb = new + m * (new - w), new_b + m * (new_b - bias)
-        w, bias = new, new_b
-    return w, bias
-
-
-def choose(texts: list[bytes | None], y: np.ndarray, tr: np.ndarray) -> np.ndarray:
-    """Features whose document frequencies differ most between the classes."""
+        order = np.argsort(d, kind="stable")
+        for own in np.split(i[order], np.searchsorted(d[order], np.arange(1, s.docs))):
+            mark[own] = True
+            f = np.flatnonzero(mark)
+            mark[f] = False
+            out.append(f.astype(np.int32))
+    return out
+
+
+def _platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(a, b) by Newton's method on Platt's smoothed targets."""
+    pos, neg = float((y == 1).sum()), float((y == 0).sum())
+    t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    x, v = np.stack([s, np.ones_like(s)], 1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -40, 40)))
+        g = x.T @ (p - t) + 1e-3 * (v - [1.0, 0.0])
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), g)
+        v = v - np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(v[0]), float(v[1])
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
+    """rows: the features of each text; y: 1 for the class to reject.  Every fourth
+    row of a class calibrates."""
+    first: dict[bytes, int] = {}
+    fresh = np.array([first.setdefault(r.tobytes() + bytes([c]), k) == k and len(r) > 0 for k, (r, c) in enumerate(zip(rows, y.tolist()))], bool)
+    rank = np.zeros(len(y), np.int64)
+    for c in (0, 1):
+        rank[fresh & (y == c)] = np.arange((fresh & (y == c)).sum())
+    held = fresh & (rank % 4 == 3)
+    tr = np.flatnonzero(fresh & ~held)
+    n = np.bincount(y[tr], minlength=2)
+    if not n.all():
+        return Model(None)
     df = np.zeros((2, DIM), np.float32)
-    for p, c, t in zip(_present(texts), y, tr):
-        if t:
-            df[c, p] += 1
-    n = np.array([(y[tr] == c).sum() for c in (0, 1)])
-    share = df / n[:, None].astype(np.float32)
-    pooled = df.sum(0) / n.sum()
-    z = np.abs(share[1] - share[0]) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n).sum())
-    z[np.maximum(share[0], share[1]) < LEAST_SHARE] = 0  # else a few copies of one text would enter
-    z[df.sum(0) < 5] = 0
-    chosen = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    return chosen[z[chosen] > LEAST_Z]
-
-
-def fit(texts: list[bytes | None], y: np.ndarray) -> Model:
-    """y: 1 for the class to reject.  Every fourth row calibrates."""
-    index = np.full(DIM, -1, np.int32)
-    held = np.arange(len(y)) % 4 == 3
-    tr = ~held
-    if not tr.any() or len(np.unique(y[tr])) < 2:
-        return Model(index, np.zeros(0, np.float32), -20.0)
-    chosen = choose(texts, y, tr)
-    index[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(y), len(chosen)), np.float32)
-    for i, p in enumerate(_present(texts)):
-        got = index[p]
-        x[i, got[got >= 0]] = 1
-    w, bias = _descend(x[tr], y[tr].astype(np.float32), L2, STEPS)
-    model = Model(index, w, bias)
-    if len(np.unique(y[held])) == 2:  # Platt's scaling with his smoothed targets
-        s, yc = x[held] @ w + bias, y[held]
-        pos, neg = (yc == 1).sum(), (yc == 0).sum()
-        target = np.where(yc == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-        scale = max(1e-6, float(np.abs(s).mean()))
-        (a,), b = _descend((s / scale)[:, None].astype(np.float32), target.astype(np.float32), 0.0, 2000)
+    for k in tr:
+        df[y[k], rows[k]] += 1
+    pooled = df.sum(0) / np.float32(n.sum())
+    z2 = (df[1] / np.float32(n[1]) - df[0] / np.float32(n[0])) ** 2 / (np.maximum(pooled * (1 - pooled), np.float32(1e-9)) * np.float32((1 / n).sum()))
+    scale = np.maximum(np.sqrt(z2) - np.float32(CHANCE), 0) ** np.float32(POWER)
+    used = {int(k): rows[k][scale[rows[k]] > 0] for k in tr}
+    xs = {k: scale[f] for k, f in used.items()}
+    size = np.float32(np.sqrt(np.mean([float(x @ x) for x in xs.values()])) + 1e-9)
+    for x in xs.values():
+        x /= size
+    cost = n.sum() / (2 * n)
+    w, total, bias, total_bias, t = np.zeros(DIM, np.float32), np.zeros(DIM, np.float32), 0.0, 0.0, 0
+    order = np.random.Generator(np.random.PCG64(7)).permutation(tr).tolist()
+    for e in range(EPOCHS):
+        for k in order:
+            f, x = used[k], xs[k]
+            own = w[f]
+            z = float(own @ x) + bias
+            g = cost[y[k]] * (1 / (1 + np.exp(-min(max(z, -40.0), 40.0))) - y[k])
+            rate = RATE / (1 + t / len(order)) / (1 + float(x @ x))
+            w[f] = own - np.float32(rate * g) * x
+            bias -= rate * g
+            t += 1
+        if 2 * e >= EPOCHS:
+            total += w
+            total_bias += bias
+    w = total * scale / size / np.float32(EPOCHS // 2)
+    bias = total_bias / (EPOCHS // 2)
+    model = Model(w, float(bias))
+    if len(np.unique(y[held])) == 2:
+        at = np.flatnonzero(held)
+        s = model.logit(np.array([w[rows[k]].sum(dtype=np.float64) for k in at]))
+        mean = max(1e-6, float(np.abs(s).mean()))
+        a, b = _platt(s / mean, y[held])
         if a > 0:
-            model.a, model.b = float(a) / scale, float(b)
+            model.a, model.b = a / mean, b
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, Model]:
     """(low quality, toxic) from at most TRAIN_ROWS labelled documents."""
     sample = labels.select(F.col("doc_id").alias("l_id"), "quality", "toxic").where("l_id is not null and quality is not null and toxic is not null")
-    sample = sample.dropDuplicates(["l_id"]).orderBy(F.xxhash64("l_id"), "l_id").limit(TRAIN_ROWS)
-    texts = docs.select(F.col(id_col).alias("l_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    rows = texts.join(F.broadcast(sample), "l_id").orderBy(F.xxhash64("l_id"), "l_id", F.xxhash64("t")).limit(TRAIN_ROWS).toArrow()  # bounded: TRAIN_ROWS
-    given = rows.column("t").to_pylist()
+    sample = sample.groupBy("l_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("l_id"), "l_id").limit(TRAIN_ROWS)
+    texts = docs.select(F.col(id_col).alias("l_id"), F.col(text_col).cast("string").cast("binary").alias("t")).where(F.octet_length("t") <= LONGEST_TRAINED)
+    rows = texts.join(F.broadcast(sample), "l_id").orderBy(F.xxhash64("l_id"), "l_id", F.xxhash64("t")).limit(TRAIN_ROWS)
+    so_far = Window.orderBy(F.xxhash64("l_id"), "l_id", F.xxhash64("t")).rowsBetween(Window.unboundedPreceding, 0)  # of at most TRAIN_ROWS rows
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("t")).over(so_far)).where(F.col("bytes") <= TRAIN_BYTES).toArrow()  # bounded: TRAIN_ROWS, TRAIN_BYTES
+    given = _featurised(rows.column("t").to_pylist())
     low = 1 - np.array(rows.column("quality").to_pylist() or [], np.int64)
     toxic = np.array(rows.column("toxic").to_pylist() or [], np.int64)
     return fit(given, low), fit(given, toxic)
@@ -192,14 +218,27 @@ def _judge(raw: X.Slice, models: tuple[Model, Model]) -> dict[str, np.ndarray]:
     exact = X.span_hashes(raw, w.starts, w.ends)
     repeat = np.array([repeated_words(exact[w.offs[d] : w.offs[d + 1]]) for d in range(n)], np.int64)
     d, i = features(s, w, X.span_hashes(s, w.starts, w.ends))
-    hit = np.flatnonzero((models[0].index[i] >= 0) | (models[1].index[i] >= 0))
-    key = np.unique(d[hit].astype(np.int64) * DIM + i[hit])
-    d, i = key // DIM, key % DIM
+    hit = np.zeros(DIM, bool)
+    for m in models:
+        if m.weights is not None:
+            hit |= m.weights != 0
+    at = np.flatnonzero(hit[i])
+    d = d[at].astype(np.int64)
+    d *= DIM
+    d += i[at]
+    del i, at
+    d.sort()
+    d = d[np.concatenate([[True], d[1:] != d[:-1]])] if len(d) else d
+    offs = np.searchsorted(d, np.arange(n + 1) * DIM)
+    d &= DIM - 1
     p = []
     for m in models:
-        at = m.index[i]
-        ok = at >= 0
-        p.append(m.probability(np.bincount(d[ok], m.weights[at[ok]].astype(np.float64), n) + m.bias))
+        if m.weights is None:
+            p.append(np.zeros(n))
+            continue
+        total = np.concatenate([[0.0], np.cumsum(m.weights[d], dtype=np.float64)])
+        p.append(m.probability(m.logit(total[offs[1:]] - total[offs[:-1]])))
+    del d
     failed = (n_words < MIN_WORDS) | (100 * repeat > REPEAT_PERCENT * n_words)
     return {
         "n_words": n_words.astype(np.int64),
@@ -216,7 +255,7 @@ def _judge(raw: X.Slice, models: tuple[Model, Model]) -> dict[str, np.ndarray]:
 
 def score(df: DataFrame, models: tuple[Model, Model], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of SCHEMA for every document."""
-    shared = df.sparkSession.sparkContext.broadcast(models)  # two tables of DIM ints and MAX_FEATURES weights
+    shared = df.sparkSession.sparkContext.broadcast(models)  # two tables of DIM weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
