@@ -9,7 +9,10 @@ leftmost and do not overlap.
 The patterns use possessive loops and run-start guards, which change no match
 but keep Java's matcher free of recursion and of quadratic rescans on very long
 runs.  Positions come from the lengths of the pieces between matches, so a text
-is scanned by ``split`` and ``regexp_extract_all`` and nothing is exploded.
+is scanned by ``split`` and ``regexp_extract_all`` and nothing is exploded.  Running
+sums go over groups of CHUNK pieces, then over the groups (of which CHUNK make one
+more level), so that no array is rebuilt once a match.  Context is looked up in the
+CONTEXT_CHARS characters before a match, as far back as the one before of its kind.
 
 Defined cases: null text is empty; repeated rows stay repeated; a null id is
 kept; an empty table gives no rows; other columns are ignored.
@@ -27,6 +30,7 @@ from ._io import table
 
 THRESHOLD = 0.6
 CONTEXT_CHARS = 40
+CHUNK = 128
 _LUHN = """(size(split(d, '')) between 12 and 19) and aggregate(transform(split(reverse(d), ''),
   (c, i) -> if(i % 2 = 0, cast(c as int), if(cast(c as int) > 4, 2 * cast(c as int) - 9, 2 * cast(c as int)))), 0, (a, v) -> a + v) % 10 = 0"""
 _MOD97 = """aggregate(split(concat(substring(d, 5), substring(d, 1, 4)), ''), 0,
@@ -59,22 +63,52 @@ KINDS = (
 )
 
 
-def _positions(k: Kind) -> str:
-    """SQL: array of (s, e, m) of the pattern's matches in text."""
+_PIECE = "struct<g: bigint, n: bigint, m: string, c: boolean>"
+_SPAN = "struct<s: bigint, e: bigint, m: string, c: boolean>"
+
+
+def _groups(array: str, size: int) -> str:
+    """SQL: the array cut into arrays of that size."""
+    return f"transform(sequence(0, cast((size({array}) - 1) div {size} as int)), i -> slice({array}, i * {size} + 1, {size}))"
+
+
+def _starts(lengths: str) -> str:
+    """SQL: the running sums before each of an array of lengths."""
+    return f"aggregate({lengths}, struct(0L as pos, cast(array() as array<bigint>) as out), (a, x) -> struct(a.pos + x as pos, concat(a.out, array(a.pos)) as out), a -> a.out)"
+
+
+def _spans(pieces: str, start: str) -> str:
+    """SQL: spans (s, e, m, c) of a group's pieces, from start on."""
+    return f"""aggregate({pieces}, struct({start} as pos, cast(array() as array<{_SPAN}>) as out),
+      (a, x) -> struct(a.pos + x.g + x.n as pos, concat(a.out, array(struct(a.pos + x.g as s, a.pos + x.g + x.n as e, x.m as m, x.c as c))) as out), a -> a.out)"""
+
+
+def _length(pieces: str) -> str:
+    return f"aggregate({pieces}, 0L, (t, y) -> t + y.g + y.n)"
+
+
+def _pieces(k: Kind) -> str:
+    """SQL: for each match the length of the text before it (from the last one), its
+    own, itself, and whether a context word stands before it."""
     p = k.pattern.replace("\\", "\\\\")
-    return f"""if({k.gate}, aggregate(
-      zip_with(slice(split(text, '{p}', -1), 1, size(split(text, '{p}', -1)) - 1), regexp_extract_all(text, '{p}', 0), (g, m) -> struct(length(g) as g, length(m) as n, m as m)),
-      struct(0L as pos, cast(array() as array<struct<s: bigint, e: bigint, m: string>>) as out),
-      (a, x) -> struct(a.pos + x.g + x.n as pos, concat(a.out, array(struct(a.pos + x.g as s, a.pos + x.g + x.n as e, x.m as m))) as out),
-      a -> a.out), cast(array() as array<struct<s: bigint, e: bigint, m: string>>))"""
+    near = f"regexp_like(lower(right(g, {CONTEXT_CHARS})), '{k.context}')"
+    return f"""if({k.gate}, zip_with(slice(split(text, '{p}', -1), 1, size(split(text, '{p}', -1)) - 1), regexp_extract_all(text, '{p}', 0),
+      (g, m) -> struct(cast(length(g) as bigint) as g, cast(length(m) as bigint) as n, m as m, {near} as c)), cast(array() as array<{_PIECE}>))"""
+
+
+def _positions(i: int) -> str:
+    """SQL: array of (s, e, m, c) of the matches in column p<i>."""
+    inner = f"flatten(zip_with(gg, {_starts(f'transform(gg, y -> {_length('y')})')}, (y, o) -> {_spans('y', 'b + o')}))"
+    outer = f"transform(p{i}_groups, g -> {_groups('g', CHUNK)})"
+    many = f"flatten(zip_with({outer}, {_starts(f'transform(p{i}_groups, y -> {_length('y')})')}, (gg, b) -> {inner}))"
+    return f"if(size(p{i}) <= {CHUNK}, {_spans(f'p{i}', '0L')}, {many})"
 
 
 def _confirmed(i: int, k: Kind) -> str:
     """SQL: array of (s, k, e, score) of the confirmed matches in column k<i>."""
     digits = f"regexp_replace(x.m, '[^{k.keep}]', '')"
     keep = re.sub(r"\bd\b", lambda _: digits, re.sub(r"\bm\b", "x.m", k.valid))
-    near = f"lower(substring(text, cast(greatest(x.s - {CONTEXT_CHARS}, 0) as int) + 1, cast(least(x.s, {CONTEXT_CHARS}) as int)))"
-    score = f"{k.score}D + if(regexp_like({near}, '{k.context}'), 0.3D, 0D)"
+    score = f"{k.score}D + if(x.c, 0.3D, 0D)"
     out = f"transform(filter(k{i}, x -> {keep}), x -> struct(x.s as s, {i} as k, x.e as e, {score} as score))"
     return out if k.always else f"filter({out}, y -> y.score >= {THRESHOLD}D)"
 
@@ -83,7 +117,10 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """Rows (doc_id, spans): array of (s, k, e, score) by s, then kind index."""
     d = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumns({"has_at": F.contains("text", F.lit("@")), "has_digit": F.col("text").rlike("[0-9]")})
-    d = d.withColumns({f"k{i}": F.expr(_positions(k)) for i, k in enumerate(KINDS)})
+    d = d.withColumns({f"p{i}": F.expr(_pieces(k)) for i, k in enumerate(KINDS)})
+    many = f"if(size({{0}}) <= {CHUNK}, cast(array() as array<array<{_PIECE}>>), {_groups('{0}', CHUNK * CHUNK)})"
+    d = d.withColumns({f"p{i}_groups": F.expr(many.format(f"p{i}")) for i in range(len(KINDS))})
+    d = d.withColumns({f"k{i}": F.expr(_positions(i)) for i in range(len(KINDS))})
     return d.select("doc_id", F.expr("array_sort(concat(" + ", ".join(_confirmed(i, k) for i, k in enumerate(KINDS)) + "))").alias("spans"))
 
 

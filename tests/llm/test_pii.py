@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from foldwright.llm import pii
 
@@ -63,3 +65,17 @@ def test_added_kinds(monkeypatch, spark):
 
 def test_edges(monkeypatch, spark, edge, empty):
     assert len(run(monkeypatch, spark, edge)) == edge.count() and run(monkeypatch, spark, empty) == []
+
+
+def test_many_matches_in_one_text(monkeypatch, spark):
+    """Work in proportion to the text: 300,000 matches in 5 MB, and group borders."""
+    rnd = random.Random(3)
+    parts = ["1.2.3.4 ", "a@b.co ", "+1 555 123 4567; ", "4111 1111 1111 1111, ", "é😀 "]
+    t = ["".join(rnd.choices(parts, [5, 5, 1, 1, 3], k=480_000))]
+    t += ["1.1.1.1 " * n for n in (pii.CHUNK - 1, pii.CHUNK, pii.CHUNK + 1, pii.CHUNK**2, pii.CHUNK**2 + 1, 3 * pii.CHUNK**2 + 5)]
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    began = time.time()
+    rows = run(monkeypatch, spark, df)
+    assert time.time() - began < 60
+    assert sum(r.n_email + r.n_ip + r.n_phone + r.n_card for r in rows if r.doc_id == 0) > 300_000
+    check(rows, dict(enumerate(t)))
