@@ -14,9 +14,13 @@ be in the window.
 Words are runs of ASCII letters and digits and of all other non-ASCII bytes,
 A-Z lower-cased, so decoration beside a word doesn't hide it.
 
-The index of at most SHARD_ITEMS items is sent to the executors; more items are
-indexed in several shards, each queried by a pass of its own.  Half a window is
-never shorter than the longest item of the shard.
+Where WAND moves cursors to a pivot, all windows of a slice are bounded at once by
+the same sums; a posting is read only if its window and block passed.
+
+Items are indexed by length, so that half a window is never shorter than the longest
+item of its index.  Word frequencies and the mean length are those of all items.  The
+indexes of at most SHARD_ITEMS items or so are sent to the executors at once; more
+items are queried in several passes, with the same scores.
 
 Defined cases: null or empty texts match nothing, nor do items without words;
 items with fewer than 5 words count as one shingle; repeated items and rows
@@ -32,6 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,22 +85,49 @@ class Index:
     half: int
 
 
-def build(items: list[tuple]) -> Index:
-    """items: (item_id, text); those without words are left out."""
+class Stats:
+    """What BM25 takes from all items: their number and words, and how many have each
+    word (one number for each distinct word of the benchmark)."""
+
+    def __init__(self) -> None:
+        self.n, self.words = 0, 0
+        self.terms, self.df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, items: list[tuple]) -> "Stats":
+        held = [np.unique(h) for _, t in items if len(h := _hashes((t or "").encode()))]
+        self.n += len(held)
+        self.words += sum(len(_hashes((t or "").encode())) for _, t in items)
+        if held:
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            terms, at = np.unique(np.concatenate([self.terms, u]), return_inverse=True)
+            self.terms, self.df = terms, np.bincount(at, np.concatenate([self.df, c])).astype(np.int64)
+        return self
+
+
+def build(items: list[tuple], stats: Stats | None = None) -> list[Index]:
+    """Of (item_id, text): an index of those of up to HALF_WINDOW words, one of those of
+    up to twice as many, and so on, so that a long item widens no other's window; those
+    without words are left out."""
+    stats = stats or Stats().add(items)
     rows = [(i, h, t) for i, t in items if len(h := _hashes((t or "").encode()))]
+    level = [max(0, (len(h) - 1) // HALF_WINDOW).bit_length() for _, h, _ in rows]
+    return [_index([r for r, v in zip(rows, level) if v == k], stats, HALF_WINDOW << k) for k in sorted(set(level))]
+
+
+def _index(rows: list[tuple], stats: Stats, half: int) -> Index:
     n = len(rows)
-    size = np.array([len(h) for _, h, _ in rows] or [1])
-    terms = np.unique(np.concatenate([h for _, h, _ in rows])) if n else np.zeros(0, np.uint64)
+    size = np.array([len(h) for _, h, _ in rows])
+    terms = np.unique(np.concatenate([h for _, h, _ in rows]))
     term, item, tf = [], [], []
     for k, (_, h, _) in enumerate(rows):
         u, c = np.unique(h, return_counts=True)
         term.append(np.searchsorted(terms, u))
         item.append(np.full(len(u), k))
         tf.append(c)
-    term, item, tf = (np.concatenate(x) if n else np.zeros(0, np.int64) for x in (term, item, tf))
-    df = np.bincount(term, minlength=len(terms))
-    weight = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / size.mean()))
-    impact = weight / np.bincount(item, weight, n)[item] if n else weight
+    term, item, tf = np.concatenate(term), np.concatenate(item), np.concatenate(tf)
+    df = stats.df[np.searchsorted(stats.terms, terms)]
+    weight = np.log1p((stats.n - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / (stats.words / stats.n)))
+    impact = weight / np.bincount(item, weight, n)[item]
     order = np.lexsort((item, term))
     term, item, impact = term[order], item[order], impact[order]
     best = np.zeros(len(terms))
@@ -110,7 +142,7 @@ def build(items: list[tuple]) -> Index:
         np.searchsorted(term, np.arange(len(terms) + 1)), item, impact,
         [np.unique(X.word_shingles(h)) for _, h, _ in rows],
         [np.unique(_hashes(q.encode())) for q, _ in parts], [np.unique(_hashes(a.encode())) for _, a in parts],
-        max(HALF_WINDOW, int(size.max())),
+        half,
     )
 
 
@@ -156,58 +188,97 @@ def _share(part: np.ndarray, there: np.ndarray) -> float:
     return float(np.isin(part, there).mean()) if len(part) else 1.0
 
 
-def _query(s: X.Slice, x: Index, step: int = 1 << 16) -> Iterator[tuple]:
+@dataclass
+class Read:
+    """The words of a slice's documents."""
+
+    h: np.ndarray
+    offs: np.ndarray
+    doc_of: np.ndarray
+
+    @staticmethod
+    def of(s: X.Slice) -> "Read":
+        s = s.lower()
+        w = X.words(s, X.ALNUM)
+        return Read(X.span_hashes(s, w.starts, w.ends), w.offs, np.repeat(np.arange(s.docs), np.diff(w.offs)))
+
+
+def _query(r: Read, x: Index) -> Iterator[tuple]:
     """(document, item, first word, score, overlaps) verified in a slice."""
-    s = s.lower()
-    w = X.words(s, X.ALNUM)
-    h = X.span_hashes(s, w.starts, w.ends)
-    n_words = np.diff(w.offs)
-    halves = np.maximum(1, -(-n_words // x.half))
+    h, offs = r.h, r.offs
+    halves = np.maximum(1, -(-np.diff(offs) // x.half))
     first = np.concatenate([[0], np.cumsum(halves)])
-    doc_of = np.repeat(np.arange(s.docs), n_words)
-    half = first[doc_of] + (np.arange(len(h)) - w.offs[doc_of]) // x.half
-    last = np.zeros(first[-1], bool)
-    last[first[1:] - 1] = True
     at = np.searchsorted(x.terms, h)
     at[at == len(x.terms)] = 0
-    hit = x.terms[at] == h
+    hit = np.flatnonzero(x.terms[at] == h)
+    doc = r.doc_of[hit]
+    half = first[doc] + (hit - offs[doc]) // x.half
+    last = np.zeros(first[-1], bool)
+    last[first[1:] - 1] = True
     found: dict[tuple[int, int], tuple] = {}
-    for win, item, score in zip(*search(x, at[hit], half[hit], last)):
+    for win, item, score in zip(*search(x, at[hit], half, last)):
         d = int(np.searchsorted(first, win, "right")) - 1
-        a = w.offs[d] + (win - first[d]) * x.half
-        seen = h[a : min(a + 2 * x.half, w.offs[d + 1])]
+        a = offs[d] + (win - first[d]) * x.half
+        seen = h[a : min(a + 2 * x.half, offs[d + 1])]
         overlap = _share(x.shingles[item], X.word_shingles(seen))
-        if overlap >= OVERLAP and min(q := _share(x.question[item], seen), r := _share(x.answer[item], seen)) >= PART_OVERLAP:
-            new = (d, int(item), int(a - w.offs[d]), float(score), overlap, q, r)
+        if overlap >= OVERLAP and min(q := _share(x.question[item], seen), k := _share(x.answer[item], seen)) >= PART_OVERLAP:
+            new = (d, int(item), int(a - offs[d]), float(score), overlap, q, k)
             if (d, item) not in found or new[3] > found[d, item][3]:
                 found[d, item] = new
     yield from found.values()
 
 
+def _shards(items: DataFrame, item_col: str, text_col: str) -> list[Broadcast]:
+    """Indexes of about SHARD_ITEMS items each, sent to the executors."""
+    spark = items.sparkSession
+    bench = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    n = max(1, -(-bench.count() // SHARD_ITEMS))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    rows = lambda k: [tuple(r) for r in bench.where(part == k).orderBy("item_id", "text").collect()]  # noqa: E731  about SHARD_ITEMS
+    stats = Stats()
+    for k in range(n):
+        stats.add(rows(k))
+    return [spark.sparkContext.broadcast(build(rows(k), stats)) for k in range(n)]
+
+
 def match(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Rows of SCHEMA: the best window of every verified (document, item)."""
-    spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bench = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    shards = max(1, -(-bench.count() // SHARD_ITEMS))
-
-    def one(k: int) -> DataFrame:
-        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        shared = spark.sparkContext.broadcast(build([tuple(r) for r in part.orderBy("item_id").collect()]))  # about SHARD_ITEMS items
 
+    def one(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x = shared.value
             for b in batches:
                 ids = b.column(0).to_pylist()
                 for s in X.slices(b.column(1)):
-                    rows = [(ids[s.first + d], x.ids[i], *rest) for d, i, *rest in _query(s, x)] if len(x.ids) else []
+                    r = Read.of(s)
+                    rows = [(ids[s.first + d], x.ids[i], *rest) for x in shared.value for d, i, *rest in _query(r, x)]
                     if rows:
                         kinds = [pa.int64()] * 3 + [pa.float64()] * 4
                         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.split()[0] for f in SCHEMA.split(", ")])
 
         return docs.mapInArrow(run, SCHEMA)
 
-    return reduce(DataFrame.unionByName, [one(k) for k in range(shards)])
+    return reduce(DataFrame.unionByName, map(one, _shards(items, item_col, item_text_col)))
+
+
+def keep_clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, in which no item is found.  Each row is
+    judged by its own text, so ids may be null or repeated; nothing is joined."""
+    at = df.columns.index(text_col)
+
+    def without(rest: DataFrame, shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for s in X.slices(b.column(at)):
+                    clean, r = np.ones(s.docs, bool), Read.of(s)
+                    for x in shared.value:
+                        for d, *_ in _query(r, x):
+                            clean[d] = False
+                    yield b.slice(s.first, s.docs).filter(pa.array(clean))
+
+        return rest.mapInArrow(run, df.schema)
+
+    return reduce(without, _shards(items, item_col, item_text_col), df)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foldwright.llm import decontam
@@ -12,7 +13,12 @@ def test_finds_all_planted_items_only(spark, monkeypatch):
     got = {(r.doc_id, r.item_id) for r in decontam.match(docs, items).collect()}
     assert want <= got and len(got - want) <= 2
     monkeypatch.setattr(decontam, "SHARD_ITEMS", 7)  # several passes, same matches
-    assert {(r.doc_id, r.item_id) for r in decontam.match(docs, items).collect()} == got
+    again = {(r.doc_id, r.item_id, round(r.bm25, 9)) for r in decontam.match(docs, items).collect()}
+    assert {x[:2] for x in again} == got
+    monkeypatch.undo()
+    assert {(r.doc_id, r.item_id, round(r.bm25, 9)) for r in decontam.match(docs, items).collect()} == again
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    assert sorted(r.text for r in decontam.keep_clean(odd, items).collect()) == sorted(r.text for r in docs.collect() if r.doc_id not in {d for d, _ in got})
 
 
 def test_bounds_lose_nothing():
@@ -20,7 +26,7 @@ def test_bounds_lose_nothing():
     g = np.random.default_rng(1)
     words = [f"w{i}" for i in range(60)]
     items = [(i, " ".join(g.choice(words, 12))) for i in range(40)]
-    x = decontam.build(items)
+    (x,) = decontam.build(items)
     x.half = 16
     text = " ".join([*g.choice(words, 150), *items[7][1].split(), *g.choice(words, 100)])
     s = decontam.X.Slice(0, np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))

@@ -69,7 +69,7 @@ def test_components(spark):
 
 
 def test_patience_and_blocks():
-    x, y = list("abcdxefg"), list("zabcdyefgh")
+    x, y = list(map(ord, "abcdxefg")), list(map(ord, "zabcdyefgh"))
     assert lines.patience(x, y) == [(0, 1), (1, 2), (2, 3), (3, 4), (5, 6), (6, 7), (7, 8)]
     assert lines.patience([], y) == [] and lines.patience(x, x) == [(i, i) for i in range(8)]
     assert lines.common_blocks(x, [2] * 8, y, 7) == [0, 1, 2, 3]
@@ -89,7 +89,49 @@ def test_line_dedup(spark, edge, empty):
         by[r.doc_id].append((r.text, r.n_deleted))
     assert by[1] == [(t[0][1], 0)] and by[2] == [("quite another line of words here", 3)] and by[3] == [("ok\nyes", 0)]
     assert by[4] == [("", 3)] * 2 and by[5] == [(None, 0)] and by[None] == [(shared, 0)]
-    assert lines.dedup(edge, keep=("lang", "key", "h", "n_words")).count() == edge.count() and lines.dedup(empty).count() == 0
+    assert lines.dedup(edge).count() == edge.count() and lines.dedup(empty).count() == 0
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark, edge):
+    odd = edge.selectExpr("*", "1 as gone", "2 as n_lines", "3 as n_deleted", "4 as lines", "5 as owner", "6 as seeds")
+    got = lines.keep_rest(odd)
+    assert got.columns == odd.columns and got.count() > 0
+    assert {(r.gone, r.n_lines, r.n_deleted, r.lines, r.owner, r.seeds) for r in got.collect()} == {(1, 2, 3, 4, 5, 6)}
+
+
+def left_brute(rows, least=5):
+    """Each document without the lines that stand in a run of lines, of that many
+    words or more, that an earlier document has."""
+    split = [(i, (t or "").split("\n")) for i, t in rows]
+    out = {}
+    for i, x in split:
+        gone = set()
+        for j, y in split:
+            if j < i:
+                for a in range(len(x)):
+                    for c in range(len(y)):
+                        k = 0
+                        while a + k < len(x) and c + k < len(y) and x[a + k] == y[c + k]:
+                            k += 1
+                        if sum(len(WORD.findall(v)) for v in x[a : a + k]) >= least:
+                            gone |= {a + m for m in range(k) if WORD.search(x[a + m])}
+        out[i] = "\n".join(v for k, v in enumerate(x) if k not in gone)
+    return out
+
+
+def test_line_dedup_equals_brute_force_over_all_earlier_documents(spark):
+    x, y = ([f"{a}{k} has five words here" for k in range(5)] for a in "xy")
+    cases = [[x + y, y + x, y + x], [["a b c d e", "p", "p", "f g h i j"], ["q", "p", "p", "r"]], [["one", "two", "", "three four", "five"], ["own", "one", "two", "", "three four", "five", "end"]]]
+    rnd = random.Random(4)
+    pool = ["", " ", "a", "b c", "d e f", "g h i j", "k l m n o", "p q r s t u", "v w x"]
+    cases += [[[rnd.choice(pool) for _ in range(rnd.randrange(14))] for _ in range(7)] for _ in range(12)]
+    rows = [(100 * c + i, "\n".join(f"{v} {c}" if len(v) > 8 else v for v in t)) for c, docs in enumerate(cases[:3]) for i, t in enumerate(docs)]
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == left_brute(rows) and got[1] == got[2] == ""
+    for docs in cases[3:]:
+        rows = [(i, "\n".join(t)) for i, t in enumerate(docs)]
+        got = {r.doc_id: r.text or "" for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+        assert got == left_brute(rows), rows
 
 
 def test_every_line_stays_somewhere(small):
