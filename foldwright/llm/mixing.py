@@ -8,17 +8,15 @@ contexts (none, one and two tokens back; in a spelled word SPELLING
 bytes back) hold training counts of zeros and ones in tables of 2**TABLE_BITS
 slots; a longer context starts from what the shorter one predicts, with the
 weight of BACKOFF observations.  Their stretched probabilities are combined by weights that a gate picks
-(upper or lower tree, spelling) and that learn online from every bit, and an
-adaptive probability map, also online, refines the mix.  Tree bits below
-MIX_DEPTH use the first predictor alone.  The score is the log10 probability of
+(upper, middle or lower tree, spelling) and that learn online, and an adaptive
+probability map, also online, refines the mix.  All bits of a token are mixed.  Weights
+and map run through a whole document; they are updated after every BLOCK tokens from
+all its bits, which lets numpy advance the documents of a slice together, so scores
+don't depend on which other texts share a task.  The score is the log10 probability of
 all bits; total bits per byte is -score / log10(2) / bytes.
 
 Training gathers the count of every token (a shuffle with a row per token and
-task) and the context tables, of fixed size, summed in two levels.  A text is
-scored in pieces of PIECE_BITS bits: contexts reach back across a piece's border,
-weights and map begin each piece afresh, so scores don't depend on which other
-texts share a task, and pieces of many texts advance in step inside numpy.  Texts
-of more than CHUNK_TOKENS tokens also begin pieces at multiples of that.
+task) and the context tables, of fixed size, summed in two levels with 64-bit counters.
 
 The base score joins the exact counts: those of head tokens from the table that
 is sent around (HEAD rows), those of all others by a shuffle join.
@@ -45,18 +43,18 @@ from ._io import materialize, table
 
 HEAD = 1 << 18
 TABLE_BITS = 21
-MIX_DEPTH = 8
-PIECE_SHIFT = 10
-PIECE_BITS = 1 << PIECE_SHIFT
-SLICE_BYTES = 1_600_000  # about CHUNK_TOKENS tokens
-CHUNK_TOKENS = 270_000
+BLOCK = 8
+DEPTHS = (5, 10)  # of the token tree, where a new gate begins
+GATES = len(DEPTHS) + 2
+SLICE_BYTES = 512 << 10
+CHUNK_TOKENS = 64_000  # worked on at once; a multiple of BLOCK
 FLUSH_WORDS = 1_000_000
 RANGES = 32
 TERMINATOR = 32
 SPELLING = (2, 3, 5)  # bytes that the predictors look back in a spelled word
-RATE, MAP_RATE = 0.1, 0.04
-START_WEIGHTS = ((0.4, 0.3, 0.3), (0.6, 0.2, 0.2), (0.2, 0.3, 0.5))  # by gate
-BACKOFF = np.float32(4)  # observations that a shorter context counts for
+RATE, MAP_RATE, CELLS = 0.02, 0.02, 24
+START_WEIGHTS = ((0.6, 0.2, 0.2), (0.7, 0.15, 0.15), (0.8, 0.1, 0.1), (0.2, 0.3, 0.5))  # by gate
+BACKOFF = np.float32(0.4)  # observations that a shorter context counts for
 HEAD_LEAST = 2  # hapaxes are spelled, so that the escape learns how often new tokens come
 _END = np.uint64(0x1D872B41A5E2C39F)
 _BEGIN = np.uint64(0x9D39247E33776D41)
@@ -104,7 +102,6 @@ class Codes:
     offs: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
-    prior: np.ndarray  # natural log probability of a symbol's bits below MIX_DEPTH
     lookup: np.ndarray
 
     @property
@@ -129,24 +126,12 @@ def make_codes(head: np.ndarray, count: np.ndarray, other: int, ends: int, bytes
     c1 = np.concatenate([count, [other, ends]])
     o1, n1, b1 = huffman(c1)
     o2, n2, b2 = huffman(bytes_seen + 1)
-    # below MIX_DEPTH: counts of the subtrees, the same (n + 0.4) rule as the tables
-    size = np.zeros(len(c1) * 2, np.float64)
-    path_sym = np.repeat(np.arange(len(c1)), np.diff(o1))
-    np.add.at(size, n1, c1[path_sym])
-    one = np.zeros_like(size)
-    np.add.at(one, n1, c1[path_sym] * b1)
-    p1 = (one[n1] + 0.2) / (size[n1] + 0.4)
-    logp = np.log(np.where(b1 == 1, p1, 1 - p1))
-    deep = np.arange(len(n1)) - np.repeat(o1[:-1], np.diff(o1)) >= MIX_DEPTH
-    prior = np.concatenate([np.bincount(path_sym, logp * deep, len(c1)), np.zeros(256)])
-    keep1 = ~deep
-    o1 = np.concatenate([[0], np.cumsum(np.minimum(np.diff(o1), MIX_DEPTH))])
     lookup = np.full(1 << 21, -1, np.int32)
     slot = (head >> np.uint64(64 - 21)).astype(np.int64)
     lookup[slot] = np.arange(len(head))
     twice = slot[1:][slot[1:] == slot[:-1]]
     lookup[twice] = -2
-    return Codes(head, count, np.concatenate([o1, o1[-1] + o2[1:]]).astype(np.int32), np.concatenate([n1[keep1], n2 + (1 << 20)]).astype(np.int32), np.concatenate([b1[keep1], b2]), prior, lookup)
+    return Codes(head, count, np.concatenate([o1, o1[-1] + o2[1:]]).astype(np.int32), np.concatenate([n1, n2 + (1 << 20)]).astype(np.int32), np.concatenate([b1, b2]), lookup)
 
 
 @dataclass
@@ -172,20 +157,18 @@ def tokens_of(s: X.Slice) -> Tokens:
 
 @dataclass
 class Bits:
-    """Bits in text order: each with its table slots, gate, piece and place in it."""
+    """Bits in text order: each with its table slots, gate, document and block in it."""
 
     bit: np.ndarray
     slots: tuple[np.ndarray, np.ndarray, np.ndarray]
     gate: np.ndarray | None = None
-    lane: np.ndarray | None = None
-    step: np.ndarray | None = None
-    doc_of_lane: np.ndarray | None = None
+    doc: np.ndarray | None = None
+    block: np.ndarray | None = None
 
 
 def bits_of(s: X.Slice, t: Tokens, c: Codes, sym: np.ndarray, a: int, b: int, prev: np.ndarray, prev2: np.ndarray, doc: np.ndarray | None) -> Bits:
-    """The mixed bits of tokens a:b, with their table slots, in pieces of
-    PIECE_BITS from the first of each document's tokens in a:b on (without doc, for
-    training, they have no pieces)."""
+    """The bits of tokens a:b with their table slots (without doc, for training, they
+    have no blocks)."""
     sym = sym[a:b]
     tail = np.flatnonzero(sym == c.escape)
     n_bytes = (t.stop - t.start)[a:b][tail] + 1
@@ -230,19 +213,13 @@ def bits_of(s: X.Slice, t: Tokens, c: Codes, sym: np.ndarray, a: int, b: int, pr
         slots.append(x.view(np.int32))
     if doc is None:
         return Bits(c.bits[path], tuple(slots))
-    gate = (depth >= MIX_DEPTH // 2).astype(np.int8)
-    gate[(code > c.escape + 1)[event]] = 2
-    starts = np.flatnonzero(np.diff(doc[a:b], prepend=-1))  # documents of a:b
-    ends_bits = np.cumsum(length)
-    n_bits = np.diff(np.concatenate([[0], ends_bits[(np.append(first[starts[1:]], total) - 1)]])).astype(np.int32)
-    pieces = (n_bits + (PIECE_BITS - 1)) >> PIECE_SHIFT
-    first_piece, first_bit = np.cumsum(pieces, dtype=np.int32) - pieces, np.cumsum(n_bits, dtype=np.int32) - n_bits
-    lane = np.arange(n, dtype=np.int32)
-    lane -= np.repeat(first_bit, n_bits)
-    step = lane & np.int32(PIECE_BITS - 1)
-    lane >>= np.int32(PIECE_SHIFT)
-    lane += np.repeat(first_piece, n_bits)
-    return Bits(c.bits[path], tuple(slots), gate, lane, step, np.repeat(doc[a:b][starts], pieces))
+    gate = np.zeros(n, np.int8)
+    for d in DEPTHS:
+        gate += depth >= d
+    gate[(code > c.escape + 1)[event]] = GATES - 1
+    token = np.repeat(np.arange(a, b), n_events)
+    block = ((token - t.offs[doc[token]]) // BLOCK).astype(np.int32)
+    return Bits(c.bits[path], tuple(slots), gate, doc[token].astype(np.int32)[event], block[event])
 
 
 def contexts_of(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -330,7 +307,7 @@ def _tables(codes):
         from pyspark import TaskContext
 
         c = codes.value
-        sums = np.zeros((3, 2 << TABLE_BITS), np.uint32)
+        sums = np.zeros((3, 2 << TABLE_BITS), np.uint32)  # of one task
         held: list[list[np.ndarray]] = [[], [], []]
         size = 0
 
@@ -358,7 +335,7 @@ def _tables(codes):
 
 
 def _blobs(rows: np.ndarray, parts: np.ndarray, salt: int) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(parts, pa.int32()), pa.array(np.full(len(parts), salt, np.int32)), pa.array([zlib.compress(r.astype("<u4").tobytes(), 1) for r in rows], pa.binary())], ["part", "salt", "blob"])
+    return pa.record_batch([pa.array(parts, pa.int32()), pa.array(np.full(len(parts), salt, np.int32)), pa.array([zlib.compress(r.astype("<u8").tobytes(), 1) for r in rows], pa.binary())], ["part", "salt", "blob"])
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +343,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, total = None, None
     for b in batches:
         for p, z in zip(b.column(0).to_pylist(), b.column(1)):
-            row = np.frombuffer(zlib.decompress(z.as_py()), "<u4")
+            row = np.frombuffer(zlib.decompress(z.as_py()), "<u8")
             if p != part:
                 if part is not None:
                     yield _blobs(total[None], np.array([part]), 0)
@@ -389,67 +366,57 @@ def predict(bits: Bits, pairs: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def mix_bits(bits: Bits, stretched: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each lane's bits."""
-    lanes = len(bits.doc_of_lane)
-    if not len(bits.bit):
-        return np.zeros(lanes)
-    n = np.bincount(bits.lane, minlength=lanes)
-    order = np.argsort(-n, kind="stable")
-    rank = np.empty(lanes, np.int64)
-    rank[order] = np.arange(lanes)
-    longest = int(n.max())
-    flat = rank[bits.lane]
-    flat += bits.step * np.int64(lanes)
-    y = np.zeros(longest * lanes, np.float32)
-    y[flat] = bits.bit
-    g = np.zeros(longest * lanes, np.int8)
-    g[flat] = bits.gate
-    flat += bits.step * np.int64(2 * lanes)
-    st = np.zeros(longest * 3 * lanes, np.float32)
-    for k in range(3):
-        st[flat] = stretched[k]
-        flat += lanes
-    st, y, g = st.reshape(longest, 3, lanes), y.reshape(longest, lanes), g.reshape(longest, lanes)
-    active = np.searchsorted(-n[order], -np.arange(longest), "left")
-    w = np.repeat(np.array(START_WEIGHTS, np.float32).T[:, :, None], lanes, 2).reshape(3, 3 * lanes)
-    cells = 24
-    apm = np.tile((1 / (1 + np.exp(-(np.arange(cells + 1) - cells / 2) / 2))).astype(np.float32), 3 * lanes)
-    got = np.ones((longest, lanes), np.float32)
-    lane = np.arange(lanes, dtype=np.int64)
-    one, half, two, top = np.float32(1), np.float32(0.5), np.float32(2), np.float32(cells - 0.001)
-    for i in range(longest):
-        m = active[i]
-        s, yi = st[i, :, :m], y[i, :m]
-        at = g[i, :m] * np.int64(lanes)
-        at += lane[:m]
-        wi = w.take(at, 1)
-        x = wi[0] * s[0]
-        x += wi[1] * s[1]
-        x += wi[2] * s[2]
+class Mixer:
+    """The weights and maps of the documents of a slice."""
+
+    def __init__(self, lengths: np.ndarray) -> None:
+        docs = len(lengths)
+        self.rank = np.empty(docs, np.int32)  # long documents first, so that a late block needs the front only
+        self.rank[np.argsort(-lengths, kind="stable")] = np.arange(docs, dtype=np.int32)
+        self.w = [np.tile(np.array([g[k] for g in START_WEIGHTS], np.float32), docs) for k in range(3)]
+        self.map = np.tile((1 / (1 + np.exp(-(np.arange(CELLS + 1) - CELLS / 2) / 2))).astype(np.float32), docs * GATES)
+
+    def score(self, bits: Bits, stretched: list[np.ndarray], logp: np.ndarray) -> None:
+        """Adds each document's natural log probability of its bits to logp."""
+        order = np.argsort(bits.block, kind="stable")
+        at = self.rank[bits.doc[order]] * np.int32(GATES) + bits.gate[order]
+        y, s = bits.bit[order].astype(np.float32), [x[order] for x in stretched]
+        blocks = bits.block[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]])
+        got = np.empty(len(y), np.float32)
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if i < j:
+                got[i:j] = self._block(at[i:j], y[i:j], [x[i:j] for x in s])
+        np.maximum(got, np.float32(1e-6), out=got)
+        logp += np.bincount(bits.doc[order], np.log(got), len(logp))
+
+    def _block(self, at: np.ndarray, y: np.ndarray, s: list[np.ndarray]) -> np.ndarray:
+        """The probability of each bit that came; then learns from them."""
+        one = np.float32(1)
+        x = self.w[0][at] * s[0]
+        x += self.w[1][at] * s[1]
+        x += self.w[2][at] * s[2]
         p = one / (one + np.exp(-x))
-        wi += (yi - p) * np.float32(RATE) * s
-        w[:, at] = wi
-        x *= two
-        x += np.float32(cells / 2)
-        np.maximum(x, 0, out=x)
-        np.minimum(x, top, out=x)
-        at *= cells + 1
-        cell = x.astype(np.int64)
+        x *= np.float32(2)
+        x += np.float32(CELLS / 2)
+        np.clip(x, np.float32(0), np.float32(CELLS - 0.001), out=x)
+        cell = x.astype(np.int32)
         x -= cell
-        cell += at
-        low = apm.take(cell)
-        high = apm.take(cell + 1)
-        mixed = (p + low + x * (high - low)) * half
-        x *= np.float32(MAP_RATE)
-        apm[cell] = low + (yi - low) * (np.float32(MAP_RATE) - x)
-        apm[cell + 1] = high + (yi - high) * x
-        got[i, :m] = np.abs(one - yi - mixed)  # of the bit that came
-    out = np.empty(lanes)
-    np.maximum(got, np.float32(1e-6), out=got)
-    np.log(got, out=got)
-    out[order] = got.sum(0, dtype=np.float64)
-    return out
+        cell += at * np.int32(CELLS + 1)
+        low, high = self.map[cell], self.map[cell + 1]
+        mixed = (p + low + x * (high - low)) * np.float32(0.5)
+        # of sums over a block, one bit's part shrinks with their number
+        n = np.bincount(at)
+        err = (y - p) * np.float32(RATE)
+        share = 16 / np.maximum(n, 16)
+        for k in range(3):
+            self.w[k][: len(n)] += np.bincount(at, err * s[k]) * share
+        for c, now, part in ((cell, low, one - x), (cell + np.int32(1), high, x)):
+            change = np.bincount(c, (y - now) * part)
+            change *= MAP_RATE
+            change /= 1 + MAP_RATE * np.bincount(c, part)
+            self.map[: len(change)] += change
+        return np.abs(one - y - mixed)
 
 
 def _scores(shared):
@@ -469,10 +436,10 @@ def _scores(shared):
                 t = tokens_of(s)
                 sym, (prev, prev2) = _symbols(t, c), contexts_of(t)
                 doc = np.repeat(np.arange(s.docs), np.diff(t.offs))
-                logp = np.bincount(doc, c.prior[sym], s.docs)
+                logp, mixer = np.zeros(s.docs), Mixer(np.diff(t.offs))
                 for a, e in _chunks(t):
                     bits = bits_of(s, t, c, sym, a, e, prev, prev2, doc)
-                    logp += np.bincount(bits.doc_of_lane, mix_bits(bits, predict(bits, pairs)), s.docs)
+                    mixer.score(bits, predict(bits, pairs), logp)
                 base = np.bincount(doc, head_log[0][sym], s.docs)
                 known = np.bincount(doc, head_log[1][sym], s.docs)
                 uids = uid + np.arange(s.docs)
@@ -513,11 +480,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     parts = docs.mapInArrow(_tables(spark.sparkContext.broadcast(codes)), "part int, salt int, blob binary")
     parts = parts.repartition("part", "salt").sortWithinPartitions("part").select("part", "blob").mapInArrow(_add_up, "part int, salt int, blob binary")
     parts = parts.repartition(3 * RANGES, "part").sortWithinPartitions("part").select("part", "blob").mapInArrow(_add_up, "part int, salt int, blob binary")
-    sums = np.zeros((3 * RANGES, (2 << TABLE_BITS) // RANGES), np.uint32)
+    pairs = np.zeros((3 * RANGES, (2 << TABLE_BITS) // RANGES), np.float32)
     for r in parts.select("part", "blob").collect():
-        sums[r["part"]] += np.frombuffer(zlib.decompress(r["blob"]), "<u4")
-    pairs = sums.reshape(3, -1, 2).astype(np.float32)
-    del sums
+        pairs[r["part"]] += np.frombuffer(zlib.decompress(r["blob"]), "<u8")
+    pairs = pairs.reshape(3, -1, 2)
     known = np.concatenate([codes.count, [0, ends], np.zeros(256)])
     head_log = np.log10(known + 0.1), (known > 0).astype(np.float64)
     head_log[0][codes.escape] = 0
