@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as X
@@ -36,6 +36,7 @@ DIM = 1 << 20
 TRAIN_BYTES, LONGEST_TRAINED = 64 << 20, 1 << 20
 EPOCHS, RATE = 12, 2.0
 CHANCE, POWER = 3.5, 0.25
+TRAIN_SLICE = 128 << 10
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 THRESHOLD = 0.5
 
@@ -111,7 +112,7 @@ def _featurised(texts: list[bytes | None]) -> list[np.ndarray]:
     """The distinct hashed features of each text."""
     out: list[np.ndarray] = []
     mark = np.zeros(DIM, bool)
-    for s in X.slices(pa.array(texts, pa.large_binary())):
+    for s in X.slices(pa.array(texts, pa.large_binary()), TRAIN_SLICE):
         s = s.lower()
         w = X.words(s)
         d, i = features(s, w, X.span_hashes(s, w.starts, w.ends))
@@ -199,11 +200,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("l_id"), F.col(text_col).cast("string").cast("binary").alias("t")).where(F.octet_length("t") <= LONGEST_TRAINED)
     rows = texts.join(F.broadcast(sample), "l_id").orderBy(F.xxhash64("l_id"), "l_id", F.xxhash64("t")).limit(TRAIN_ROWS)
     so_far = Window.orderBy(F.xxhash64("l_id"), "l_id", F.xxhash64("t")).rowsBetween(Window.unboundedPreceding, 0)  # of at most TRAIN_ROWS rows
-    rows = rows.withColumn("bytes", F.sum(F.octet_length("t")).over(so_far)).where(F.col("bytes") <= TRAIN_BYTES).toArrow()  # bounded: TRAIN_ROWS, TRAIN_BYTES
-    given = _featurised(rows.column("t").to_pylist())
-    low = 1 - np.array(rows.column("quality").to_pylist() or [], np.int64)
-    toxic = np.array(rows.column("toxic").to_pylist() or [], np.int64)
-    return fit(given, low), fit(given, toxic)
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("t")).over(so_far)).where(F.col("bytes") <= TRAIN_BYTES)
+    models = {r["kind"]: r for r in rows.select("t", "quality", "toxic").mapInArrow(_learn, _FITTED).collect()}  # two rows
+    return _model(models.get(0)), _model(models.get(1))
+
+
+_FITTED = "kind int, feature array<int>, weight array<float>, bias double, a double, b double"
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _FITTED: what the sample (one partition: TRAIN_ROWS, TRAIN_BYTES) tells of
+    low quality (0) and toxic (1)."""
+    texts, marks = [], ([], [])
+    for b in batches:
+        texts += _featurised(b.column(0).to_pylist())
+        marks[0].extend(1 - int(q) for q in b.column(1).to_pylist())
+        marks[1].extend(int(t) for t in b.column(2).to_pylist())
+    for kind, y in enumerate(marks):
+        m = fit(texts, np.array(y, np.int64))
+        if m.weights is not None:
+            f = np.flatnonzero(m.weights).astype(np.int32)
+            columns = [[kind], [f], [m.weights[f]], [m.bias], [m.a], [m.b]]
+            kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()), *[pa.float64()] * 3]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in _FITTED.split(", ")])
+
+
+def _model(row: Row | None) -> Model:
+    if row is None:
+        return Model(None)
+    w = np.zeros(DIM, np.float32)
+    w[np.array(row["feature"], np.int64)] = row["weight"]
+    return Model(w, row["bias"], row["a"], row["b"])
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, p_low double, p_toxic double"
