@@ -145,14 +145,14 @@ def join_full_outer_distributions(spark, sf_dir):
     return a.join(f.where("fold = 0 and age < 40").groupBy("age").agg(F.count("*").alias("test")), "age", "full").na.fill(0, ["train", "test"])
 
 
-@query("knn_masked_label_mean", f"""WITH {F0_SQL}, s AS (SELECT stddev_samp(age) a, stddev_samp(weekend) b FROM f0 WHERE fold=1), r AS (SELECT id, age/s.a a, weekend/s.b b, y FROM f0, s WHERE fold=1 AND weekend IS NOT NULL AND id%20=0),
-    q AS (SELECT id, age/s.a a, weekend/s.b b FROM f0, s WHERE fold=0 AND id%5=0), d AS (SELECT q.id, r.y, row_number() OVER (PARTITION BY q.id ORDER BY round_even((coalesce((q.a-r.a)*(q.a-r.a),0)+coalesce((q.b-r.b)*(q.b-r.b),0))*1e9,0), r.id) k FROM q, r)
+@query("knn_masked_label_mean", f"""WITH {F0_SQL}, s AS (SELECT stddev_samp(age) a, stddev_samp(weekend) b FROM f0 WHERE fold=1), r AS (SELECT id, age/s.a a, weekend/s.b b, y FROM f0, s WHERE fold=1 AND weekend IS NOT NULL),
+    q AS (SELECT id, age/s.a a, weekend/s.b b FROM f0, s WHERE fold=0), d AS (SELECT q.id, r.y, row_number() OVER (PARTITION BY q.id ORDER BY round_even((coalesce((q.a-r.a)*(q.a-r.a),0)+coalesce((q.b-r.b)*(q.b-r.b),0))*1e9,0), r.id) k FROM q, r)
     SELECT id, {R('avg(y)')} AS nn3 FROM d WHERE k<=3 GROUP BY 1""")
 def knn_masked_label_mean(spark, sf_dir):
     f = base_frame(spark, sf_dir)
-    ref = f.where("fold = 1 and weekend is not null and id % 20 = 0")  # the reference table is a sampled set by definition
+    ref = f.where("fold = 1 and weekend is not null")
     scale = f.where("fold = 1").agg(F.stddev_samp("age").alias("age"), F.stddev_samp("weekend").alias("weekend"))
-    out = N.knn_mean(ref, f.where("fold = 0 and id % 5 = 0"), ["age", "weekend"], scale, "y", 3)
+    out = N.knn_mean(ref, f.where("fold = 0"), ["age", "weekend"], scale, "y", 3)
     return out.select("id", stable("nn3").alias("nn3"))
 
 

@@ -55,13 +55,13 @@ def comb_bagged_greedy(spark, sf_dir):
 
 
 def _linear(spark, sf_dir, solve):
+    """Sums by fold in one pass; what is left without a fold fits its model, and one more
+    pass scores all folds."""
     m = members(base_frame(spark, sf_dir))
-    out = None
-    for k in range(5):
-        b, w = solve(E.moments(m.where(F.col("fold") != k), NAMES).head())
-        p = E.linear_scores(m.where(F.col("fold") == k), w, b)
-        out = p if out is None else out.unionByName(p)
-    return out.select("id", stable("pred").alias("pred"))
+    sums = {r["fold"]: r.asDict() for r in E.moments(m, NAMES, by=["fold"]).collect()}  # a row per fold
+    pairs = [k for k in next(iter(sums.values())) if ":" in k] if sums else []
+    fits = {k: solve({p: sum(s[p] for j, s in sums.items() if j != k) for p in pairs}) for k in sums}
+    return E.linear_scores_by_fold(m, fits).select("id", stable("pred").alias("pred"))
 
 
 @query("comb_ridge_logit_nested")
@@ -92,14 +92,15 @@ def comb_logit_logistic_nested(spark, sf_dir):
 
 @query("comb_missing_segmented")
 def comb_missing_segmented(spark, sf_dir):
-    """A model per missingness band, fitted and applied within the band."""
+    """A model per missingness band, fitted on the other folds and applied within the
+    band."""
     from foldwright.operators.missingness import band
 
     f = base_frame(spark, sf_dir)
     m = members(f).join(f.select("id", band(["daily", "social", "gaming", "work"]).alias("band")), "id")
     out = None
-    for b in (0, 1):
-        part = E.logistic(m.where(F.col("band") == b), NAMES, iterations=8)(m.where(F.col("band") == b))
+    for b in (0, 1, 2):
+        part = E.nested(m.where(F.col("band") == b), 5, lambda t: E.logistic(t, NAMES, iterations=8))
         out = part if out is None else out.unionByName(part)
     return out.select("id", stable("pred", 4).alias("pred"))
 

@@ -145,17 +145,17 @@ def disagreement_views(spark, sf_dir):
 _PAT = "CAST((daily IS NULL)::INTEGER + 2*(social IS NULL)::INTEGER + 4*(gaming IS NULL)::INTEGER + 8*(work IS NULL)::INTEGER AS BIGINT)"
 
 
-@query("missingness_reweighting", f"WITH {F0_SQL}, a AS (SELECT {_PAT} AS pattern, count(*) t FROM f0 WHERE fold<>0 GROUP BY 1), b AS (SELECT {_PAT} AS pattern, count(*) e FROM f0 WHERE fold=0 AND id%4<>1 GROUP BY 1), n AS (SELECT (SELECT sum(t) FROM a) nt, (SELECT sum(e) FROM b) ne) SELECT pattern, coalesce(t,0) AS train_rows, coalesce(e,0) AS test_rows, {R('coalesce(t,0)/nt')} AS train_share, {R('coalesce(e,0)/ne')} AS test_share, {R('CASE WHEN t>0 THEN (coalesce(e,0)/ne)/(t/nt) END')} AS weight FROM a FULL JOIN b USING (pattern), n")
+@query("missingness_reweighting", f"WITH {F0_SQL}, a AS (SELECT {_PAT} AS pattern, count(*) t FROM f0 WHERE fold<>0 GROUP BY 1), b AS (SELECT {_PAT} AS pattern, count(*) e FROM f0 WHERE fold=0 GROUP BY 1), n AS (SELECT (SELECT sum(t) FROM a) nt, (SELECT sum(e) FROM b) ne) SELECT pattern, coalesce(t,0) AS train_rows, coalesce(e,0) AS test_rows, {R('coalesce(t,0)/nt')} AS train_share, {R('coalesce(e,0)/ne')} AS test_share, {R('CASE WHEN t>0 THEN (coalesce(e,0)/ne)/(t/nt) END')} AS weight FROM a FULL JOIN b USING (pattern), n")
 def missingness_reweighting(spark, sf_dir):
     f = base_frame(spark, sf_dir)
-    p = MI.pattern_weights(f.where("fold <> 0"), f.where("fold = 0 and id % 4 <> 1"), COLS)
+    p = MI.pattern_weights(f.where("fold <> 0"), f.where("fold = 0"), COLS)
     return p.select("pattern", "train_rows", "test_rows", *[S.stable(c).alias(c) for c in ("train_share", "test_share", "weight")])
 
 
-@query("kish_effective_sample", f"WITH {F0_SQL}, a AS (SELECT {_PAT} AS pattern, count(*) t FROM f0 WHERE fold<>0 GROUP BY 1), b AS (SELECT {_PAT} AS pattern, count(*) e FROM f0 WHERE fold=0 AND id%4<>1 GROUP BY 1), n AS (SELECT (SELECT sum(t) FROM a) nt, (SELECT sum(e) FROM b) ne), w AS (SELECT t, (coalesce(e,0)/ne)/(t/nt) AS w FROM a LEFT JOIN b USING (pattern), n) SELECT {R('sum(t*w)*sum(t*w)/sum(t*w*w)')} AS ess, CAST(coalesce(sum(t) FILTER (w=0),0) AS BIGINT) AS zero_rows FROM w")
+@query("kish_effective_sample", f"WITH {F0_SQL}, a AS (SELECT {_PAT} AS pattern, count(*) t FROM f0 WHERE fold<>0 GROUP BY 1), b AS (SELECT {_PAT} AS pattern, count(*) e FROM f0 WHERE fold=0 GROUP BY 1), n AS (SELECT (SELECT sum(t) FROM a) nt, (SELECT sum(e) FROM b) ne), w AS (SELECT t, (coalesce(e,0)/ne)/(t/nt) AS w FROM a LEFT JOIN b USING (pattern), n) SELECT {R('sum(t*w)*sum(t*w)/sum(t*w*w)')} AS ess, CAST(coalesce(sum(t) FILTER (w=0),0) AS BIGINT) AS zero_rows FROM w")
 def kish_effective_sample(spark, sf_dir):
     f = base_frame(spark, sf_dir)
-    w = MI.row_weights(f.where("fold <> 0"), f.where("fold = 0 and id % 4 <> 1"), COLS)
+    w = MI.row_weights(f.where("fold <> 0"), f.where("fold = 0"), COLS)
     return w.agg(S.stable(M.kish("weight")).alias("ess"), F.sum((F.col("weight") == 0).cast("long")).alias("zero_rows"))
 
 

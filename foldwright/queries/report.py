@@ -132,8 +132,8 @@ def report_teacher_student_contrast(spark, sf_dir):
 
 @query("comb_rank_gauss_logistic")
 def comb_rank_gauss_logistic(spark, sf_dir):
-    r = M.rank_pct(members(base_frame(spark, sf_dir)), "pred", ["fold", "member"]).withColumn("pred", F.col("pct") - 0.5 / 1000)
-    out = E.logistic(r.where("fold <> 0"), NAMES, transform=lambda c: normal_quantile(F.greatest(F.col(c), F.lit(1e-4))), iterations=8)(r.where("fold = 0"))
+    r = M.half_step_rank(members(base_frame(spark, sf_dir)), "pred", ["fold", "member"]).withColumn("pred", F.col("half"))
+    out = E.nested(r, 5, lambda t: E.logistic(t, NAMES, transform=lambda c: normal_quantile(F.col(c)), iterations=8))
     return out.select("id", stable("pred", 3).alias("pred"))
 
 

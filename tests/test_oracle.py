@@ -23,3 +23,22 @@ def test_query_equals_sql(spark, con, name):
 def test_other_queries_give_rows(spark, name):
     df = Q.QUERIES[name](spark, SF)
     assert df.count() > 0
+
+
+def test_combiners_score_every_row(spark):
+    """Nested combiners score all folds and bands; the sums taken apart by fold give the
+    fits of five separate passes."""
+    from foldwright.operators import ensemble as E
+    from foldwright.queries.ensembles import NAMES
+    from foldwright.sources.tables import base_frame, members
+
+    f = base_frame(spark, SF)
+    m = members(f)
+    for name in ("comb_missing_segmented",):
+        assert Q.QUERIES[name](spark, SF).count() == f.count()
+    want = {}
+    for k in range(5):
+        b, w = E.ridge(E.moments(m.where(f"fold <> {k}"), NAMES).head(), NAMES, 1.0)
+        want.update({r.id: r.pred for r in E.linear_scores(m.where(f"fold = {k}"), w, b).collect()})
+    got = {r.id: r.pred for r in Q.QUERIES["comb_ridge_logit_nested"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
