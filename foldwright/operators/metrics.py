@@ -9,15 +9,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bucket(value: str) -> Column:
+    """A number that never falls as the value rises, with some 64 steps for each factor e
+    of a value, and of its distance from 1 where it lies between 1/2 and 1.  Windows over a
+    bucket and then over the buckets (a bounded number) stand for one over all values."""
+    v = F.col(value).cast("double")
+    steps = lambda x: F.floor(F.log(x) * 64)
+    # logarithms of doubles lie within 750, so zones are 100,000 apart
+    zone = (
+        F.when(v.isNull(), F.lit(-400_000))
+        .when(F.isnan(v), F.lit(400_000))
+        .when(v < 0, -200_000 - steps(F.greatest(-v, F.lit(1e-320))))
+        .when(v == 0, F.lit(-100_000))
+        .when(v < 0.5, steps(F.greatest(v, F.lit(1e-320))))
+        .when(v < 1, 100_000 - steps(1 - v))
+        .otherwise(200_000 + steps(v))
+    )
+    return zone.cast("int")
+
+
+def running(counts: DataFrame, by: Sequence[str], value: str, sums: dict[str, str]) -> DataFrame:
+    """counts (distinct values per by) with, for each column of sums, its sum over the
+    smaller values of the group under the given name."""
+    key = [*by, "_bucket"]
+    v = counts.withColumn("_bucket", bucket(value))
+    inside = Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = v.groupBy(*key).agg(*[F.sum(c).alias(c) for c in sums])
+    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_s{i}") for i, c in enumerate(sums)])
+    j = v.join(totals, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)])
+    return j.select(*counts.columns, *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_s{i}")).alias(n) for i, (c, n) in enumerate(sums.items())])
+
+
 def auc(df: DataFrame, pred: str, y: str, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """Rows (by..., n, auc): weighted Mann-Whitney with ties as halves; NULL where
     one class is empty."""
     w = weight if weight is not None else F.lit(1.0)
     vals = df.groupBy(*by, F.col(pred).alias("_v")).agg(F.sum(w * F.col(y)).alias("_p"), F.sum(w * (1 - F.col(y))).alias("_n"), F.count("*").alias("_c"))
-    win = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    below = vals.withColumn("_b", F.coalesce(F.sum("_n").over(win), F.lit(0.0)))
-    t = below.groupBy(*by).agg(F.sum("_c").alias("n"), F.sum(F.col("_p") * (F.col("_b") + F.col("_n") / 2)).alias("_u"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
-    return t.select(*by, "n", F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_u") / (F.col("_p") * F.col("_n"))).alias("auc"))
+    none = F.lit(0.0)
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    vals = vals.withColumn("_bucket", bucket("_v")).withColumn("_b", F.coalesce(F.sum("_n").over(inside), none))
+    sums = [F.sum(c).alias(c) for c in ("_c", "_p", "_n")]
+    part = vals.groupBy(*by, "_bucket").agg(*sums, F.sum(F.col("_p") * (F.col("_b") + F.col("_n") / 2)).alias("_u"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("_u", F.col("_u") + F.col("_p") * F.coalesce(F.sum("_n").over(before), none))
+    t = part.groupBy(*by).agg(*sums, F.sum("_u").alias("_u"))
+    return t.select(*by, F.col("_c").alias("n"), F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_u") / (F.col("_p") * F.col("_n"))).alias("auc"))
 
 
 def auc_per_fold_and_overall(df: DataFrame, pred: str, y: str, fold: str = "fold", by: Sequence[str] = ()) -> DataFrame:
@@ -86,13 +123,11 @@ def theil_sen(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFram
 
 def ecdf(ref: DataFrame, query: DataFrame, x: str, keep: Sequence[str]) -> DataFrame:
     """(left + right) / 2n of query values in the reference distribution, clipped to
-    half a step: a union and one window over distinct values, no range join."""
+    half a step: a union and running sums over distinct values, no range join."""
     v = ref.where(F.col(x).isNotNull()).select(F.col(x).alias("_v"), F.lit(1).alias("_r")).unionByName(query.select(F.col(x).alias("_v"), F.lit(0).alias("_r")))
-    d = v.groupBy("_v").agg(F.sum("_r").alias("_r"))
-    w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("_r").over(Window.partitionBy())
-    d = d.where(F.col("_v").isNotNull()).select("_v", F.sum("_r").over(w).alias("_right"), "_r", n.alias("_n"))
-    p = (2 * F.col("_right") - F.col("_r")) / (2 * F.col("_n"))
+    d = v.where(F.col("_v").isNotNull()).groupBy("_v").agg(F.sum("_r").alias("_r"))
+    d = running(d, [], "_v", {"_r": "_left"}).crossJoin(F.broadcast(d.agg(F.sum("_r").alias("_n"))))  # one row
+    p = (2 * F.col("_left") + F.col("_r")) / (2 * F.col("_n"))
     d = d.select(F.col("_v").alias(x), F.greatest(F.least(p, 1 - 0.5 / F.col("_n")), 0.5 / F.col("_n")).alias("ecdf"))
     return query.join(d, x, "left").select(*keep, "ecdf")
 
@@ -102,9 +137,9 @@ def class_ecdf_difference(ref: DataFrame, query: DataFrame, x: str, y: str, keep
     r = ref.where(F.col(x).isNotNull()).select(F.col(x).alias("_v"), (1 - F.col(y)).alias("_0"), F.col(y).alias("_1"))
     v = r.unionByName(query.where(F.col(x).isNotNull()).select(F.col(x).alias("_v"), F.lit(0).alias("_0"), F.lit(0).alias("_1")))
     d = v.groupBy("_v").agg(F.sum("_0").alias("_0"), F.sum("_1").alias("_1"))
-    w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    al = Window.partitionBy()
-    d = d.select(F.col("_v").alias(x), (F.sum("_0").over(w) / F.sum("_0").over(al) - F.sum("_1").over(w) / F.sum("_1").over(al)).alias("cdf_diff"))
+    total = d.agg(F.sum("_0").alias("_t0"), F.sum("_1").alias("_t1"))
+    d = running(d, [], "_v", {"_0": "_b0", "_1": "_b1"}).crossJoin(F.broadcast(total))  # one row
+    d = d.select(F.col("_v").alias(x), ((F.col("_b0") + F.col("_0")) / F.col("_t0") - (F.col("_b1") + F.col("_1")) / F.col("_t1")).alias("cdf_diff"))
     return query.join(d, x, "left").select(*keep, "cdf_diff")
 
 
@@ -112,10 +147,8 @@ def rank_burden(df: DataFrame, pred: str, y: str, keep: Sequence[str]) -> DataFr
     """Share of the opposite class that a row is ordered wrongly against (ties
     half); its mean within a class is 1 - AUC."""
     v = df.groupBy(F.col(pred).alias("_v")).agg(F.sum(y).alias("_p"), F.sum(1 - F.col(y)).alias("_n"))
-    before = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    al = Window.partitionBy()
-    z = lambda c: F.coalesce(c, F.lit(0))
-    v = v.select(F.col("_v").alias(pred), "_p", "_n", z(F.sum("_p").over(before)).alias("_pb"), z(F.sum("_n").over(before)).alias("_nb"), F.sum("_p").over(al).alias("_pt"), F.sum("_n").over(al).alias("_nt"))
+    total = v.agg(F.sum("_p").alias("_pt"), F.sum("_n").alias("_nt"))
+    v = running(v, [], "_v", {"_p": "_pb", "_n": "_nb"}).crossJoin(F.broadcast(total)).withColumnRenamed("_v", pred)  # one row
     pos = (F.col("_nt") - F.col("_nb") - F.col("_n") / 2) / F.col("_nt")
     neg = (F.col("_pb") + F.col("_p") / 2) / F.col("_pt")
     return df.join(v, pred).select(*keep, F.when(F.col(y) == 1, pos).otherwise(neg).alias("burden"))
