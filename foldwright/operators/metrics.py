@@ -14,14 +14,14 @@ def bucket(value: str) -> Column:
     of a value, and of its distance from 1 where it lies between 1/2 and 1.  Windows over a
     bucket and then over the buckets (a bounded number) stand for one over all values."""
     v = F.col(value).cast("double")
-    steps = lambda x: F.floor(F.log(x) * 64)
+    steps = lambda x: F.floor(F.log(F.least(F.greatest(x, F.lit(1e-320)), F.lit(1e308))) * 64)
     # logarithms of doubles lie within 750, so zones are 100,000 apart
     zone = (
         F.when(v.isNull(), F.lit(-400_000))
         .when(F.isnan(v), F.lit(400_000))
-        .when(v < 0, -200_000 - steps(F.greatest(-v, F.lit(1e-320))))
+        .when(v < 0, -200_000 - steps(-v))
         .when(v == 0, F.lit(-100_000))
-        .when(v < 0.5, steps(F.greatest(v, F.lit(1e-320))))
+        .when(v < 0.5, steps(v))
         .when(v < 1, 100_000 - steps(1 - v))
         .otherwise(200_000 + steps(v))
     )

@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from foldwright.queries import diagnose, encode, ensembles, events, judge, metric, models, more, report, resample, rows, store  # noqa: F401
+    from foldwright.queries import diagnose, encode, ensembles, events, judge, metric, models, more, report, resample, rows, stacked, store  # noqa: F401

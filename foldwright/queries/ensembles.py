@@ -90,21 +90,6 @@ def comb_logit_logistic_nested(spark, sf_dir):
     return M.auc_per_fold_and_overall(out.withColumn("pred", stable("pred")), "pred", "y").select("scope", stable("auc", 4).alias("auc"))
 
 
-@query("comb_missing_segmented")
-def comb_missing_segmented(spark, sf_dir):
-    """A model per missingness band, fitted on the other folds and applied within the
-    band."""
-    from foldwright.operators.missingness import band
-
-    f = base_frame(spark, sf_dir)
-    m = members(f).join(f.select("id", band(["daily", "social", "gaming", "work"]).alias("band")), "id")
-    out = None
-    for b in (0, 1, 2):
-        part = E.nested(m.where(F.col("band") == b), 5, lambda t: E.logistic(t, NAMES, iterations=8))
-        out = part if out is None else out.unionByName(part)
-    return out.select("id", stable("pred", 4).alias("pred"))
-
-
 @query("comb_three_mode_blend", f"WITH {F0_SQL}, {MEMBERS_SQL}, k AS {rank_sql('mm', 'member')}, p AS (SELECT id, max(pred) FILTER (member='m1') a, max(pred) FILTER (member='m2') b, max((r-0.5)/sz) FILTER (member='m1') ra, max((r-0.5)/sz) FILTER (member='m2') rb FROM k GROUP BY 1) SELECT id, {R('0.7*a+0.3*b')} AS raw, {R('0.7*ln(least(greatest(a,1e-6),1-1e-6)/(1-least(greatest(a,1e-6),1-1e-6)))+0.3*ln(least(greatest(b,1e-6),1-1e-6)/(1-least(greatest(b,1e-6),1-1e-6)))')} AS logit, {R('0.7*ra+0.3*rb')} AS half FROM p")
 def comb_three_mode_blend(spark, sf_dir):
     h = M.half_step_rank(members(base_frame(spark, sf_dir)).where("member in ('m1','m2')"), "pred", ["member"])

@@ -128,22 +128,3 @@ def report_teacher_student_contrast(spark, sf_dir):
     r = M.rank_pct(members(base_frame(spark, sf_dir)), "pred", ["fold", "member"]).groupBy("id").pivot("member", ["m1", "m4"]).agg(F.first("pct")).select("id", (F.col("m1") - F.col("m4")).alias("c"))
     sd = r.agg(F.stddev_pop("c").alias("s"))
     return r.crossJoin(F.broadcast(sd)).select("id", stable(signed_square(F.col("c") / F.col("s"))).alias("residual"))
-
-
-@query("comb_rank_gauss_logistic")
-def comb_rank_gauss_logistic(spark, sf_dir):
-    r = M.half_step_rank(members(base_frame(spark, sf_dir)), "pred", ["fold", "member"]).withColumn("pred", F.col("half"))
-    out = E.nested(r, 5, lambda t: E.logistic(t, NAMES, transform=lambda c: normal_quantile(F.col(c)), iterations=8))
-    return out.select("id", stable("pred", 3).alias("pred"))
-
-
-@query("comb_shrunk_selection")
-def comb_shrunk_selection(spark, sf_dir):
-    """The shrinkage towards the mean logit that is best on left-out folds (ties: the
-    smaller)."""
-    m = members(base_frame(spark, sf_dir))
-    fit = E.logistic(m.where("fold <> 0"), NAMES, iterations=8)(m.where("fold <> 0")).withColumnRenamed("pred", "a")
-    mean = E.linear_scores(m.where("fold <> 0"), {n: 1 / len(NAMES) for n in NAMES}).withColumnRenamed("pred", "b")
-    j = fit.join(mean.select("id", "b"), "id").withColumn("lam", F.explode(F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 1.0)])))
-    s = M.auc(j.withColumn("pred", stable(F.col("lam") * F.col("a") + (1 - F.col("lam")) * F.col("b"), 4)), "pred", "y", ["lam"])
-    return s.orderBy(F.desc("auc"), "lam").limit(1).select("lam")

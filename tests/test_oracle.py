@@ -19,7 +19,7 @@ def test_query_equals_sql(spark, con, name):
     compare(Q.QUERIES[name](spark, SF), Q.ORACLES[name], con)
 
 
-@pytest.mark.parametrize("name", ["missing_count_tv_distance", "comb_greedy_rank_mean", "comb_ridge_logit_nested", "comb_nnls_logit_nested", "judge_pool_entry", "plan_fold_fit", "prep_rank_gauss", "impute_distribution_sample", "split_control_trials", "stream_liveness_state", "model_chained_imputation", "diag_near_duplicate_members"])
+@pytest.mark.parametrize("name", ["missing_count_tv_distance", "comb_greedy_rank_mean", "comb_ridge_logit_nested", "comb_nnls_logit_nested", "judge_pool_entry", "comb_missing_4plus", "comb_strategy_table", "comb_c_selected_shrunk", "plan_fold_fit", "prep_rank_gauss", "impute_distribution_sample", "split_control_trials", "stream_liveness_state", "model_chained_imputation", "diag_near_duplicate_members"])
 def test_other_queries_give_rows(spark, name):
     df = Q.QUERIES[name](spark, SF)
     assert df.count() > 0
