@@ -3,12 +3,13 @@ candidates in one grouped AUC over cached ranks."""
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.operators.metrics import auc, rank_pct
+from foldwright.operators.metrics import auc, rank_pct, running
 
 
 class SubsetScores:
@@ -59,3 +60,78 @@ def exchange_search(score: Callable, inside: Sequence[str], outside: Sequence[st
         kept = sorted(b if x == a else x for x in kept)
         rest = sorted(a if x == b else x for x in rest)
     return kept
+
+
+def greedy(score: Callable, names: Sequence[str], gain: float = 1e-12) -> list[str]:
+    """Add the member that helps most while it helps (ties by the order of names)."""
+    chosen: list[str] = []
+    best = float("-inf")
+    while len(chosen) < len(names):
+        left = [n for n in names if n not in chosen]
+        got = max(zip(score([[*chosen, n] for n in left]), range(0, -len(left), -1)))
+        if got[0] <= best + gain:
+            break
+        best = got[0]
+        chosen.append(left[-got[1]])
+    return chosen
+
+
+def subset_search(score: Callable, names: Sequence[str], trials: int = 128, seed: int = 0, batch: int = 32) -> list[str]:
+    """The best of the greedy subset, all members and random subsets, trials in all; every
+    subset where there are no more than that.  Ties: the smaller, then by names."""
+    names = sorted(names)
+    every = (1 << len(names)) - 1
+    if every <= trials:
+        masks = list(range(1, every + 1))
+    else:
+        bit = {n: 1 << i for i, n in enumerate(names)}
+        masks = [sum(bit[n] for n in greedy(score, names)), every]
+        draw = random.Random(seed)
+        while len(masks) < trials:
+            if m := draw.getrandbits(len(names)):
+                masks.append(m)
+    subsets = [[n for i, n in enumerate(names) if m >> i & 1] for m in dict.fromkeys(masks)]
+    got = [a for i in range(0, len(subsets), batch) for a in score(subsets[i : i + batch])]
+    return min(zip(got, subsets), key=lambda x: (-x[0], len(x[1]), x[1]))[1]
+
+
+def class_halves(rows: DataFrame, bags: int, seed: int = 0) -> DataFrame:
+    """(bag, id) of half of each class of (id, y), drawn anew for each bag: those whose
+    hashes are the lower half, counted over hash buckets."""
+    drawn = rows.select("id", "y").withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1)))).withColumn("u", F.xxhash64("id", "bag", F.lit(seed)))
+    counts = drawn.groupBy("bag", "y", "u").agg(F.count("*").alias("n"))
+    below = running(counts, ["bag", "y"], "u", {"n": "below"}).select("bag", "y", "u", "below")
+    size = rows.groupBy("y").agg(F.greatest(F.lit(1), F.rint(F.count("*") / 2).cast("long")).alias("size"))
+    return drawn.join(below, ["bag", "y", "u"]).join(F.broadcast(size), "y").where("below < size").select("bag", "id")  # a row per class
+
+
+def bagged_greedy(long: DataFrame, names: Sequence[str], bags: int = 50, seed: int = 0, gain: float = 1e-12) -> dict[str, float]:
+    """Mean over bags of the equal weights that greedy selection gives on half of each
+    class; a step scores the remaining members of all bags in one grouped AUC."""
+    names = list(names)
+    picked = class_halves(long.where(F.col("member") == names[0]), bags, seed)
+    wide = rank_pct(long.join(picked, "id"), "pred", ["bag", "member"]).groupBy("bag", "id", "y").pivot("member", names).agg(F.first("pct")).persist()
+    chosen: list[list[str]] = [[] for _ in range(bags)]
+    best = [float("-inf")] * bags
+    live = set(range(bags))
+    try:
+        for _ in names:
+            has = [F.array(*[F.lit(float(n in c)) for c in chosen])[F.col("bag")] for n in names]
+            base = sum((F.col(n) * h for n, h in zip(names, has)), F.lit(0.0))
+            options = F.array(*[F.when(h == 0, F.struct(F.lit(i).alias("m"), F.rint((base + F.col(n)) * 1e9).alias("pred"))) for i, (n, h) in enumerate(zip(names, has))])
+            trial = wide.where(F.col("bag").isin(sorted(live))).select("bag", "y", F.explode(options).alias("o")).where("o is not null")
+            top: dict[int, tuple[float, int]] = {}
+            for r in auc(trial.select("bag", "y", "o.m", "o.pred"), "pred", "y", ["bag", "m"]).collect():  # bags times members
+                if r["auc"] is not None:
+                    top[r["bag"]] = max(top.get(r["bag"], (float("-inf"), 0)), (r["auc"], -r["m"]))
+            for b in sorted(live):
+                if b not in top or top[b][0] <= best[b] + gain:
+                    live.discard(b)
+                else:
+                    best[b] = top[b][0]
+                    chosen[b].append(names[-top[b][1]])
+            if not live:
+                break
+    finally:
+        wide.unpersist()
+    return {n: sum(1 / len(c) for c in chosen if n in c) / bags for n in names}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foldwright.functions.semantics import logit, stable
 from foldwright.operators import ensemble as E
 from foldwright.operators import metrics as M
+from foldwright.operators.search import SubsetScores, bagged_greedy, subset_search
 from foldwright.sources.tables import F0_SQL, MEMBERS_SQL, base_frame, members
 
 from . import query
@@ -50,10 +51,24 @@ def comb_greedy_rank_mean(spark, sf_dir):
 
 @query("comb_bagged_greedy")
 def comb_bagged_greedy(spark, sf_dir):
-    w = E.bagged_greedy(members(base_frame(spark, sf_dir)), NAMES, bags=3)
+    w = bagged_greedy(members(base_frame(spark, sf_dir)), NAMES)
     return spark.createDataFrame([(k, round(v, 6)) for k, v in w.items()], "member string, weight double")
 
 
+_P = [f"p{i}" for i in range(1, 6)]
+_SUBSETS = f"""k AS {rank_sql('mm', 'member')}, p AS (SELECT id, any_value(y) AS y, {', '.join(f"max(r/sz) FILTER (member='{n}') AS {c}" for n, c in zip(NAMES, _P))} FROM k GROUP BY 1), s AS (SELECT mask, y, round_even(({'+'.join(f"(CASE WHEN mask & {1 << i} > 0 THEN {c} ELSE 0 END)" for i, c in enumerate(_P))})/bit_count(mask)*1e9,0) AS pred FROM p, (SELECT unnest(range(1,32))::INTEGER AS mask)), a AS (SELECT mask, auc FROM {auc_sql('s', 'mask')})"""
+
+
+@query("comb_subset_search", f"WITH {F0_SQL}, {MEMBERS_SQL}, {_SUBSETS}, n AS (SELECT mask, auc, bit_count(mask) AS size, concat_ws(',', {', '.join(f"CASE WHEN mask & {1 << i} > 0 THEN '{n}' END" for i, n in enumerate(NAMES))}) AS names FROM a) SELECT names AS members, {R('auc')} AS auc FROM n ORDER BY n.auc DESC, size, names LIMIT 1")
+def comb_subset_search(spark, sf_dir):
+    s = SubsetScores(members(base_frame(spark, sf_dir)), NAMES)
+    try:
+        got = subset_search(s, NAMES)
+        return spark.createDataFrame([(",".join(got), round(s([got])[0], 6))], "members string, auc double")
+    finally:
+        s.close()
+
+
 def _linear(spark, sf_dir, solve):
     """Sums by fold in one pass; what is left without a fold fits its model, and one more
     pass scores all folds."""
