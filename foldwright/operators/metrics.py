@@ -28,17 +28,18 @@ def bucket(value: str) -> Column:
     return zone.cast("int")
 
 
-def running(counts: DataFrame, by: Sequence[str], value: str, sums: dict[str, str]) -> DataFrame:
+def running(counts: DataFrame, by: Sequence[str], value: str, sums: dict[str, str], whole: dict[str, str] | None = None) -> DataFrame:
     """counts (distinct values per by) with, for each column of sums, its sum over the
-    smaller values of the group under the given name."""
+    smaller values of the group under the given name, and for those of whole (which sums
+    has as well) its sum over the group."""
     key = [*by, "_bucket"]
     v = counts.withColumn("_bucket", bucket(value))
     inside = Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = v.groupBy(*key).agg(*[F.sum(c).alias(c) for c in sums])
-    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_s{i}") for i, c in enumerate(sums)])
+    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_s{i}") for i, c in enumerate(sums)], *[F.sum(c).over(Window.partitionBy(*by)).alias(n) for c, n in (whole or {}).items()])
     j = v.join(totals, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)])
-    return j.select(*counts.columns, *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_s{i}")).alias(n) for i, (c, n) in enumerate(sums.items())])
+    return j.select(*counts.columns, *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_s{i}")).alias(n) for i, (c, n) in enumerate(sums.items())], *(whole or {}).values())
 
 
 def auc(df: DataFrame, pred: str, y: str, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
@@ -75,9 +76,8 @@ class _Ranked:
         """df with the average rank of value within by, and the group's size, from
         the table of distinct values."""
         v = df.groupBy(*self.by, self.value).agg(F.count("*").alias("_c"))
-        win = Window.partitionBy(*self.by).orderBy(self.value).rowsBetween(Window.unboundedPreceding, -1)
-        every = Window.partitionBy(*self.by)
-        v = v.withColumn(self.name, F.coalesce(F.sum("_c").over(win), F.lit(0)) + (F.col("_c") + 1) / 2).withColumn("_size", F.sum("_c").over(every)).drop("_c")
+        v = running(v, self.by, self.value, {"_c": "_less"}, {"_c": "_size"})
+        v = v.withColumn(self.name, F.col("_less") + (F.col("_c") + 1) / 2).drop("_c", "_less")
         return df.join(v, [*self.by, self.value])
 
 

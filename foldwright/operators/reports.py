@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwright.operators.metrics import running
+
 
 def importance_readout(imp: DataFrame, feature: str, placebo: str) -> DataFrame:
     """Per (seed, fold) the feature's gain: competition rank, percentile of the
@@ -81,7 +83,9 @@ def ablation_contrast(a: DataFrame, b: DataFrame) -> DataFrame:
 def cut_band(df: DataFrame, score: str, key: str, percents: Sequence[float]) -> DataFrame:
     """Per cut of the best percent (five rows at least): size and spread."""
     n = df.agg(F.count("*").alias("n"))
-    r = df.withColumn("k", F.row_number().over(Window.orderBy(F.desc(score), key))).crossJoin(F.broadcast(n))
+    v = running(df.groupBy(score).agg(F.count("*").alias("_c")), [], score, {"_c": "_less"})
+    r = df.join(v, score).crossJoin(F.broadcast(n))  # one row
+    r = r.withColumn("k", F.col("n") - F.col("_less") - F.col("_c") + F.row_number().over(Window.partitionBy(score).orderBy(key)))
     cuts = F.explode(F.array(*[F.lit(float(p)) for p in percents]))
     r = r.withColumn("pct", cuts).where(F.col("k") <= F.greatest(F.rint(F.col("n") * F.col("pct")), F.lit(5)))
     return r.groupBy("pct").agg(F.count("*").alias("k"), F.stddev_samp(score).alias("sd"), F.min(score).alias("lowest"))
