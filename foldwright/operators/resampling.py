@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.functions.semantics import uniform
-from foldwright.operators.metrics import auc
+from foldwright.operators.metrics import auc, running
 
 
 def stratified_folds(df: DataFrame, y: str, k: int, id_col: str = "id", seed: int = 0) -> DataFrame:
@@ -94,7 +94,7 @@ def split_trials(long: DataFrame, trials: int, weights: Sequence[float], y: str
 
 def permute(df: DataFrame, c: str, shift: int, id_col: str = "id") -> DataFrame:
     """Column c moved by shift rows in the order of ids, for permutation importance."""
-    n = df.select(id_col, F.col(c).alias("_v"), F.row_number().over(Window.orderBy(id_col)).alias("_k"))
-    size = n.agg(F.count("*").alias("_n"))
-    src = n.crossJoin(F.broadcast(size)).select(((F.col("_k") + shift - 1) % F.col("_n") + 1).alias("_k"), F.col("_v").alias("_p"))
+    n = running(df.select(id_col, F.col(c).alias("_v"), F.lit(1).alias("_one")), [], id_col, {"_one": "_less"}, {"_one": "_n"})
+    n = n.withColumn("_k", F.col("_less") + 1)
+    src = n.select(((F.col("_k") + shift - 1) % F.col("_n") + 1).alias("_k"), F.col("_v").alias("_p"))
     return df.join(n.select(id_col, "_k").join(src, "_k").select(id_col, F.col("_p")), id_col).withColumn(c, F.col("_p")).drop("_p")
