@@ -57,7 +57,7 @@ def bootstrap_weights(df: DataFrame, replicates: int, id_col: str = "id", seed:
     """Rows times replicates with weight w; the same rows weigh the same in every
     arm.  Replicate 0 has all weights 1."""
     b = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    u = uniform(F.col(id_col) * 7919 + F.col("replicate") * 104729, seed)
+    u = uniform(F.pmod(id_col, F.lit(2147483648)) * 7919 + F.col("replicate") * 104729, seed)  # as uniform reduces it
     return b.withColumn("w", F.when(F.col("replicate") == 0, 1).otherwise(poisson_one(u)))
 
 
