@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.functions.semantics import clip
@@ -22,12 +22,19 @@ def knn_mean(ref: DataFrame, query: DataFrame, cols: Sequence[str], scale: DataF
     """Rows (id, nn<k>): mean label of the k nearest reference rows by the distance
     over the columns that both have; NULL for rows with none.  Ties by id.
 
-    The reference is counted first; only up to REFERENCE_ROWS does it travel."""
+    Rows of one point are equally far from any other, so of each reference point only the k
+    smallest ids can be among the nearest, and each query point is looked up once.  What
+    is left of the reference is counted; only up to REFERENCE_ROWS does it travel."""
     s = scale.head()
-    n = ref.count()
-    if n > REFERENCE_ROWS:
-        raise ValueError(f"{n} reference rows; split the reference or index it")
-    rows = ref.select(id_col, label, *cols).orderBy(id_col).toPandas()
+    first = Window.partitionBy(*cols).orderBy(id_col)
+    near = ref.select(id_col, label, *cols).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n").persist()
+    try:
+        n = near.count()
+        if n > REFERENCE_ROWS:
+            raise ValueError(f"{n} reference rows; split the reference or index it")
+        rows = near.orderBy(id_col).toPandas()
+    finally:
+        near.unpersist()
     pts = rows[list(cols)].to_numpy(float) / np.array([s[c] for c in cols])
     shared = query.sparkSession.sparkContext.broadcast((pts, rows[label].to_numpy(float)))
     widths = [float(s[c]) for c in cols]
@@ -40,19 +47,31 @@ def knn_mean(ref: DataFrame, query: DataFrame, cols: Sequence[str], scale: DataF
             q = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in cols]) / np.array(widths)
             out = np.full(len(q), np.nan)
             step = max(1, CHUNK_CELLS // max(1, len(p)))
-            for a in range(0, len(q), step):
+            for a in range(0, len(q) if len(p) else 0, step):
                 x = q[a : a + step]
                 there = ~np.isnan(x)
                 x0 = np.where(there, x, 0)
                 d = np.zeros((len(x), len(p)))
                 for j in range(len(cols)):
                     d += np.where(there[:, j, None] & ok[None, :, j], (x0[:, j, None] - p0[None, :, j]) ** 2, 0)
-                near = np.argsort(np.rint(d * 1e9), axis=1, kind="stable")[:, :k]
-                out[a : a + step] = np.where(there.any(1), y[near].mean(1), np.nan)
-            yield pa.record_batch([b.column(id_col), pa.array(out, from_pandas=True)], [id_col, f"nn{k}"])
-
-    kind = query.schema[id_col].dataType.simpleString()
-    return query.select(id_col, *[F.col(c).cast("double") for c in cols]).mapInArrow(run, f"{id_col} {kind}, nn{k} double")
+                out[a : a + step] = np.where(there.any(1), y[_smallest(np.rint(d * 1e9), k)].mean(1), np.nan)
+            yield pa.record_batch([*[b.column(c) for c in cols], pa.array(out, from_pandas=True)], [*cols, f"nn{k}"])
+
+    points = query.select(*[F.col(c).cast("double") for c in cols]).distinct()
+    found = points.mapInArrow(run, ", ".join(f"`{c}` double" for c in cols) + f", nn{k} double").select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(cols)], f"nn{k}")
+    same = [F.col(c).cast("double").eqNullSafe(F.col(f"_p{i}")) for i, c in enumerate(cols)]
+    return query.select(id_col, *cols).join(found, same).select(id_col, f"nn{k}")
+
+
+def _smallest(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k smallest of each row, the first of equal ones; d is changed."""
+    if k > 16 or not np.isfinite(d).all():
+        return np.argsort(d, axis=1, kind="stable")[:, :k]
+    out, at = [], np.arange(len(d))
+    for _ in range(min(k, d.shape[1])):
+        out.append(d.argmin(1))
+        d[at, out[-1]] = np.inf
+    return np.column_stack(out)
 
 
 def bandwidths(ref: DataFrame, x: str, y: str) -> DataFrame:
