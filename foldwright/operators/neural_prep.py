@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from foldwright.functions.semantics import normal_quantile
 
@@ -21,19 +24,36 @@ def quantile_bins(fit: DataFrame, df: DataFrame, c: str, n: int) -> DataFrame:
     return df.crossJoin(F.broadcast(e)).withColumn(f"{c}_bin", F.when(F.col(c).isNotNull(), F.size(F.filter("_e", lambda x: x <= F.col(c))))).drop("_e")
 
 
+def _placed(df: DataFrame, c: str, q: Sequence[float]) -> DataFrame:
+    """df with _below and _upto: how many of the sorted q are less than c, and at most c."""
+    edges = np.array(q, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("_x").to_numpy(zero_copy_only=False).astype(float)
+            sides = [pa.array(np.searchsorted(edges, x, side).astype(np.int32)) for side in ("left", "right")]
+            yield pa.record_batch([*b.columns[:-1], *sides], [*b.schema.names[:-1], "_below", "_upto"])
+
+    schema = StructType([*df.schema.fields, StructField("_below", IntegerType()), StructField("_upto", IntegerType())])
+    return df.withColumn("_x", F.col(c).cast("double")).mapInArrow(run, schema)
+
+
 def rank_gauss(fit: DataFrame, df: DataFrame, c: str, n: int = 100) -> DataFrame:
-    """Quantile transform to a normal: linear between n quantiles of the fit rows."""
-    q = fit.agg(F.percentile(c, F.array(*[F.lit(i / (n - 1)) for i in range(n)])).alias("_q"))
-    d = df.crossJoin(F.broadcast(q))
-    x = F.col(c)
-    below = F.size(F.filter("_q", lambda v: v < x))
-    upto = F.size(F.filter("_q", lambda v: v <= x))
+    """Quantile transform to a normal: linear between n quantiles of the fit rows; NULL
+    without fit rows.  Places among the quantiles are searched for in Arrow batches."""
+    q = fit.agg(F.percentile(c, F.array(*[F.lit(i / (n - 1)) for i in range(n)])).alias("q")).head()["q"]
+    if q is None:
+        return df.withColumn(f"{c}_gauss", F.lit(None).cast("double"))
+    d, edges = _placed(df, c, q), F.lit(q)
+    x, below, upto = F.col(c), F.col("_below"), F.col("_upto")
     i = F.greatest(F.least(upto, F.lit(n - 1)), F.lit(1))
-    lo, hi = F.get("_q", i - 1), F.get("_q", i)
+    d = d.withColumns({"_lo": F.get(edges, i - 1), "_hi": F.get(edges, i), "_i": i})
+    lo, hi, i = F.col("_lo"), F.col("_hi"), F.col("_i")
     inner = (i - 1 + F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(0.0)) / (n - 1)
     tied = (below + upto - 1) / 2.0 / (n - 1)
     p = F.when(upto > below, tied).when(below == 0, 0.0).when(below == n, 1.0).otherwise(inner)
-    return d.withColumn(f"{c}_gauss", F.when(x.isNotNull(), normal_quantile(F.greatest(F.least(p, F.lit(1 - 1e-7)), F.lit(1e-7))))).drop("_q")
+    d = d.withColumn("_p", F.greatest(F.least(p, F.lit(1 - 1e-7)), F.lit(1e-7)))
+    return d.withColumn(f"{c}_gauss", F.when(x.isNotNull(), normal_quantile("_p"))).select(*df.columns, f"{c}_gauss")
 
 
 def robust_scale(fit: DataFrame, df: DataFrame, c: str) -> DataFrame:
