@@ -29,6 +29,8 @@ training rows every base score is 0; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import pickle
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -306,7 +308,7 @@ def _tables(codes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        c = codes.value
+        c = _codes(codes.value)
         sums = np.zeros((3, 2 << TABLE_BITS), np.uint32)  # of one task
         held: list[list[np.ndarray]] = [[], [], []]
         size = 0
@@ -334,8 +336,21 @@ def _tables(codes):
     return run
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs (which come first), byte planes
+    apart, compressed."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(counts.max(initial=0)) < 1 << 8 * w)
+    planes = np.ascontiguousarray(counts.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{blob[0]}").ravel().astype(np.uint64)
+
+
 def _blobs(rows: np.ndarray, parts: np.ndarray, salt: int) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(parts, pa.int32()), pa.array(np.full(len(parts), salt, np.int32)), pa.array([zlib.compress(r.astype("<u8").tobytes(), 1) for r in rows], pa.binary())], ["part", "salt", "blob"])
+    return pa.record_batch([pa.array(parts, pa.int32()), pa.array(np.full(len(parts), salt, np.int32)), pa.array([_pack(r) for r in rows], pa.binary())], ["part", "salt", "blob"])
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,17 +358,41 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, total = None, None
     for b in batches:
         for p, z in zip(b.column(0).to_pylist(), b.column(1)):
-            row = np.frombuffer(zlib.decompress(z.as_py()), "<u8")
+            row = _unpack(z.as_py())
             if p != part:
                 if part is not None:
                     yield _blobs(total[None], np.array([part]), 0)
-                part, total = p, row.copy()
+                part, total = p, row
             else:
                 total += row
     if part is not None:
         yield _blobs(total[None], np.array([part]), 0)
 
 
+def _codes(packed: bytes) -> Codes:
+    return pickle.loads(zlib.decompress(packed))
+
+
+_model: dict[str, tuple] = {}  # the last model that this process unpacked
+
+
+def _unpacked(model: tuple[str, bytes, list[bytes], int]) -> tuple[Codes, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Codes, tables and logs of counts from (name, packed codes, packed parts, ends): it
+    travels and lies on disk packed, a process unpacks it once."""
+    name, packed, parts, ends = model
+    if name not in _model:
+        _model.clear()
+        c = _codes(packed)
+        pairs = np.empty((len(parts), (2 << TABLE_BITS) // RANGES), np.float32)
+        for i, z in enumerate(parts):
+            pairs[i] = _unpack(z)
+        known = np.concatenate([c.count, [0, ends], np.zeros(256)])
+        head_log = np.log10(known + 0.1), (known > 0).astype(np.float64)
+        head_log[0][c.escape] = 0
+        _model[name] = c, pairs.reshape(3, -1, 2), head_log
+    return _model[name]
+
+
 def predict(bits: Bits, pairs: np.ndarray) -> list[np.ndarray]:
     """The three predictors' stretched probabilities of a one, bit by bit."""
     p, out = np.float32(0.5), []
@@ -426,7 +465,7 @@ def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        c, pairs, head_log = shared.value
+        c, pairs, head_log = _unpacked(shared.value)
         uid = TaskContext.get().partitionId() << 33
         names = ["kind", "uid", "doc_id", "n_tokens", "n_known", "base", "score", "token"]
         for b in batches:
@@ -476,18 +515,17 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         seen[r["key"]] = r["n"]
     head, count = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     codes = make_codes(head, count, n_train - ends - int(count.sum()), ends, seen)
+    packed = zlib.compress(pickle.dumps(codes), 1)
+    sent = spark.sparkContext.broadcast(packed)
     # 3 * RANGES blobs of 2 << TABLE_BITS counts in all, whatever the input
-    parts = docs.mapInArrow(_tables(spark.sparkContext.broadcast(codes)), "part int, salt int, blob binary")
+    parts = docs.mapInArrow(_tables(sent), "part int, salt int, blob binary")
     parts = parts.repartition("part", "salt").sortWithinPartitions("part").select("part", "blob").mapInArrow(_add_up, "part int, salt int, blob binary")
     parts = parts.repartition(3 * RANGES, "part").sortWithinPartitions("part").select("part", "blob").mapInArrow(_add_up, "part int, salt int, blob binary")
-    pairs = np.zeros((3 * RANGES, (2 << TABLE_BITS) // RANGES), np.float32)
-    for r in parts.select("part", "blob").collect():
-        pairs[r["part"]] += np.frombuffer(zlib.decompress(r["blob"]), "<u8")
-    pairs = pairs.reshape(3, -1, 2)
-    known = np.concatenate([codes.count, [0, ends], np.zeros(256)])
-    head_log = np.log10(known + 0.1), (known > 0).astype(np.float64)
-    head_log[0][codes.escape] = 0
-    shared = spark.sparkContext.broadcast((codes, pairs, head_log))
+    blobs = [_pack(np.zeros((2 << TABLE_BITS) // RANGES, np.uint64))] * (3 * RANGES)
+    for r in parts.select("part", "blob").collect():  # a row per part
+        blobs[r["part"]] = bytes(r["blob"])
+    sent.destroy()
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, packed, blobs, ends))
     rows, _ = materialize(docs.mapInArrow(_scores(shared), "kind byte, uid long, doc_id long, n_tokens long, n_known long, base double, score double, token long"), "scores")
     other = rows.where("kind = 1").select("uid", F.col("token").alias("key"), F.col("n_tokens").alias("times"))
     other = other.join(vocabulary, "key", "left").groupBy("uid").agg(
