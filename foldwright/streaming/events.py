@@ -47,9 +47,20 @@ def liveness(events: DataFrame) -> DataFrame:
 
 
 def run_available(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Run a stream over what is there and return its last state as a table."""
+    """Run a stream over what is there and return as a table, for the mode complete, its
+    last state, else all its rows.  Each batch is written beside the checkpoint by the
+    tasks that make it: no row passes through the driver."""
     name = f"s_{uuid.uuid4().hex}"
     folder = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_FOLDER
-    q = build(source(spark, sf_dir)).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    out, written = f"{folder}/{name}_out", []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{n}")
+        written.append(n)
+
+    stream = build(source(spark, sf_dir))
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{out}/{n}" for n in (written[-1:] if mode == "complete" else sorted(set(written)))])
