@@ -50,7 +50,10 @@ DEPTHS = (5, 10)  # of the token tree, where a new gate begins
 GATES = len(DEPTHS) + 2
 SLICE_BYTES = 512 << 10
 CHUNK_TOKENS = 64_000  # worked on at once; a multiple of BLOCK
+CHUNK_COST = 100_000  # of tokens and spelled bytes, a third as much each, worked on at once
+TRAIN_COST = 25_000  # the same in training, where chunks need not be long
 FLUSH_WORDS = 1_000_000
+HELD_BITS = 2_000_000  # whose slots a training task holds before it counts them
 RANGES = 32
 TERMINATOR = 32
 SPELLING = (2, 3, 5)  # bytes that the predictors look back in a spelled word
@@ -281,22 +284,29 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(np.arange(256, dtype=np.uint64), seen, 1)
 
 
-def _chunks(t: Tokens) -> list[tuple[int, int]]:
-    """Token ranges of about CHUNK_TOKENS: whole documents, or parts of one at
-    multiples of CHUNK_TOKENS from its start."""
+def _chunks(t: Tokens, spelled: np.ndarray, limit: int = CHUNK_COST) -> list[tuple[int, int]]:
+    """Token ranges of a cost of at most limit (spelled tokens cost a third of their bytes as
+    well): whole documents, or parts of one at multiples of BLOCK from its start.  A
+    single block may cost more."""
+    cost = np.concatenate([[0], np.cumsum(1 + np.where(spelled, (t.stop - t.start + 1) // 3, 0))])
     out, a = [], 0
     for d in range(len(t.offs) - 1):
         lo, hi = int(t.offs[d]), int(t.offs[d + 1])
-        if hi - lo > CHUNK_TOKENS or hi - a > CHUNK_TOKENS:
-            if lo > a:
-                out.append((a, lo))
-            a = lo
-            while hi - a > CHUNK_TOKENS:
-                out.append((a, a + CHUNK_TOKENS))
-                a += CHUNK_TOKENS
-            if hi - lo > CHUNK_TOKENS:
-                out.append((a, hi))
-                a = hi
+        if cost[hi] - cost[a] <= limit and hi - a <= CHUNK_TOKENS:
+            continue
+        if lo > a:
+            out.append((a, lo))
+        a = lo
+        while cost[hi] - cost[a] > limit or hi - a > CHUNK_TOKENS:
+            most = min(int(np.searchsorted(cost, cost[a] + limit, "right")) - 1 - a, CHUNK_TOKENS)
+            step = min(max(most // BLOCK, 1) * BLOCK, hi - a)
+            out.append((a, a + step))
+            a += step
+            if a == hi:
+                break
+        if a > lo and a < hi:
+            out.append((a, hi))
+            a = hi
     if a < len(t.h):
         out.append((a, len(t.h)))
     return out
@@ -322,12 +332,12 @@ def _tables(codes):
         for s in _training_slices(batches):
             t = tokens_of(s)
             sym, (prev, prev2) = _symbols(t, c), contexts_of(t)
-            for a, b in _chunks(t):
+            for a, b in _chunks(t, sym == c.escape, TRAIN_COST):
                 bits = bits_of(s, t, c, sym, a, b, prev, prev2, None)
                 for k in range(3):
                     held[k].append(2 * bits.slots[k] + bits.bit)
                 size += len(bits.bit)
-                if size > 6_000_000:
+                if size > HELD_BITS:
                     add()
                     size = 0
         add()
@@ -476,7 +486,7 @@ def _scores(shared):
                 sym, (prev, prev2) = _symbols(t, c), contexts_of(t)
                 doc = np.repeat(np.arange(s.docs), np.diff(t.offs))
                 logp, mixer = np.zeros(s.docs), Mixer(np.diff(t.offs))
-                for a, e in _chunks(t):
+                for a, e in _chunks(t, sym == c.escape):
                     bits = bits_of(s, t, c, sym, a, e, prev, prev2, doc)
                     mixer.score(bits, predict(bits, pairs), logp)
                 base = np.bincount(doc, head_log[0][sym], s.docs)
