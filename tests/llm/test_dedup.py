@@ -209,3 +209,46 @@ def test_substring_finds_partners_that_are_neither_first_nor_previous(spark):
         docs = [(i, " ".join(text(60) + w + text(60))) for i, w in enumerate(planted)]
         got = {r.doc_id for r in substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
         assert len(want) > 5 and want <= got
+
+
+def test_substring_filter_keeps_whatever_has_a_passage():
+    rng = np.random.default_rng(5)
+    kept = dropped = 0
+    for n in range(600):
+        x = rng.integers(0, (1 << 30) if n % 2 else 400, int(rng.integers(30, 300)))
+        y = x[int(rng.integers(0, 20)) :].copy()
+        for at in rng.integers(0, len(y), int(rng.integers(0, len(y) // 3 + 1))):
+            y[at : at + int(rng.integers(1, 6))] = rng.integers(1 << 30, 1 << 31)
+        y = np.insert(y, rng.integers(0, len(y), 5), rng.integers(1 << 30, 1 << 31, 5)) if n % 3 else y
+        _, word = np.unique(np.concatenate([x, y]), return_inverse=True)
+        words, member = [word[: len(x)], word[len(x) :]], np.zeros(len(word), bool)
+        hit = substring._hits(words, 0, np.array([1]), member)
+        likely = substring._likely_ones(words, 0, np.array([1]), hit, member)[0]
+        assert not member.any()
+        assert likely or not substring.passages(x, y)
+        kept, dropped = kept + likely, dropped + (not likely)
+        for c in np.flatnonzero(hit[0])[::25].tolist():
+            begin, end = substring._around(hit, c)
+            assert (begin[0], end[0]) in [r for r in substring._runs(hit[0], substring.GAP) if r[0] <= c < r[1]]
+    assert kept > 50 and dropped > 50
+
+
+def test_substring_compares_only_likely_windows_in_full(spark, monkeypatch):
+    """Documents alike around a phrase and different as a whole: none is cut out for all its partners."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(260)]
+    docs = []
+    for i in range(60):
+        own = list(base)
+        for at in range(rng.randrange(9), len(own), 16):  # a word in 16: 11 of 16 shingles stay
+            own[at] = f"x{i}y{at}"
+        docs.append((i, " ".join(own)))
+    sizes, plain = [], substring._compared
+
+    def compared(docs, regions):
+        sizes.append(regions.count())
+        return plain(docs, regions)
+
+    monkeypatch.setattr(substring, "_compared", compared)
+    substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).count()
+    assert sizes[1] <= 60
