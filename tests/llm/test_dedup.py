@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from foldwright.llm import _graph, jaccard, lines, substring
 from tests.oracle import compare, database
@@ -252,3 +253,22 @@ def test_substring_compares_only_likely_windows_in_full(spark, monkeypatch):
     monkeypatch.setattr(substring, "_compared", compared)
     substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).count()
     assert sizes[1] <= 60
+
+
+def test_substring_makes_rows_of_links_and_not_of_pairs():
+    rng = np.random.default_rng(5)
+    base, at = rng.integers(0, 1 << 30, 300).astype(np.int32), 150
+    rows = []
+    for doc in range(40):  # alike up to the ends of their windows, but in no passage with one another
+        own = np.where(rng.random(300) < 0.3, rng.integers(1 << 30, (1 << 31) - 1, 300), base).astype(np.int32)
+        own[at] = base[at]
+        rows.append(own)
+    rows += [rows[7].copy() for _ in range(3)]  # a chain of copies joins the last four
+    for own, other in zip(rows[40:], range(3)):
+        own[120 + 10 * other] = other
+    n = len(rows)
+    cols = [pa.array([1] * n, pa.int64()), pa.array(range(n), pa.int64()), *(pa.array([x] * n, pa.int32()) for x in (at, 0, 299)), pa.array([True] * n), pa.array([0] * n, pa.int32()), pa.array(rows, pa.list_(pa.int32()))]
+    out = list(substring._rest(iter([pa.record_batch(cols, ["v", "doc_id", "c", "l", "r", "open", "a", "near"])])))
+    pairs = [(r["doc_id"], r["of_id"], r["sure"]) for b in out for r in b.to_pylist()]
+    assert {p[0] for p in pairs} == {40, 41, 42} and len(pairs) == 3 and all(s for *_, s in pairs)
+    assert {p[1] for p in pairs} <= {7, 40, 41}
