@@ -272,3 +272,20 @@ def test_substring_makes_rows_of_links_and_not_of_pairs():
     pairs = [(r["doc_id"], r["of_id"], r["sure"]) for b in out for r in b.to_pylist()]
     assert {p[0] for p in pairs} == {40, 41, 42} and len(pairs) == 3 and all(s for *_, s in pairs)
     assert {p[1] for p in pairs} <= {7, 40, 41}
+
+
+def test_substring_plain_passages_equal_passages():
+    rng = np.random.default_rng(1)
+    member, some = np.zeros(20_000, bool), 0
+    for _ in range(400):
+        n = int(rng.integers(46, 300))
+        x = rng.permutation(5000)[:n]
+        y = np.where(rng.random(n) < rng.choice([0.02, 0.05, 0.1, 0.15, 0.2, 0.3]), 5000 + np.arange(n), x)
+        if rng.random() < 0.4:  # a part of it elsewhere
+            k = int(rng.integers(0, n))
+            y = np.concatenate([y[k:], 9000 + np.arange(rng.integers(0, 15)), y[:k]])
+        dense = substring._dense(x, np.isin(x, y)[None])
+        got = substring._plain_passages(x, y, list(zip(*(z.tolist() for z in dense[1:]))), member)
+        assert sorted(got) == substring.passages(x, y) and not member.any()
+        some += bool(got)
+    assert some > 100
